@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, bin_packing, iso_media, source_mixture
+from . import arrow_sequences, bin_packing, iso_media, ngram_jaccard, source_mixture, toxicity, vptree_ann
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op4_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.token_digest(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,14 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixture.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op9_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iso_media.media_features(table(spark, sf_dir, "documents"))
 
@@ -29,7 +42,8 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_arrow_sequences, op6_source_mixture, op9_iso_media, op10_bin_packing)}
+    own = (op1_vptree_ann, op4_arrow_sequences, op6_source_mixture, op7_toxicity_ftrl, op8_ngram_jaccard, op9_iso_media, op10_bin_packing)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

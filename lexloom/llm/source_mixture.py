@@ -3,7 +3,7 @@
 Every document has an exponential key -ln(u) / q: u is a hash of its id, q its quality weight, so that smaller keys
 make a weighted sample without replacement. A source's target is a number of words. Whole epochs of the source come
 first; the rest is the longest prefix of its documents by ascending key that fits, and then, for the gap that the next
-document would exceed, documents of at most a quarter of it by ascending key.
+document would exceed, documents of at most a quarter of it by ascending key, or else that document if this is nearer.
 
 A hot source is never sorted in one task. Keys are hashed into ranges that hold about `range_rows` documents; range
 sums (pre-aggregated before the shuffle) tell in which range the budget ends, and only the rows of that one range are
@@ -92,9 +92,13 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, range
     # The document at the edge leaves a gap: shorter ones behind it fill that, again by key.
     short = run.where((F.col("sampling_key") > F.col("c_key")) & (F.col("longest") * 4 <= F.col("gap")))
     short = short.withColumn("filled", F.sum("words").over(order)).where(F.col("filled") <= F.col("gap"))
-    cut = run.groupBy("l_source", "l_slot").agg(F.first("c_key").alias("c_key"), F.first("gap").alias("gap"))
-    fill = short.groupBy(F.col("l_source").alias("f_source")).agg(F.max("sampling_key").alias("f_key"))
-    ends = stored(cut.join(fill, F.col("l_source").eqNullSafe(F.col("f_source")), "left").select("l_source", "l_slot", "c_key", "gap", "f_key"), "mixture-ends")
+    beyond = F.when(F.col("upto") > F.col("rest"), F.struct("upto", "sampling_key"))
+    cut = run.groupBy("l_source", "l_slot").agg(F.first("c_key").alias("c_key"), F.first("gap").alias("gap"), F.first("rest").alias("rest"), F.min(beyond).alias("next"))
+    fill = short.groupBy(F.col("l_source").alias("f_source")).agg(F.max("sampling_key").alias("f_key"), F.max("filled").alias("filled"))
+    ends = cut.join(fill, F.col("l_source").eqNullSafe(F.col("f_source")), "left")
+    whole = F.col("next.upto") - F.col("rest") < F.col("gap") - F.coalesce(F.col("filled"), F.lit(0))  # the next document leaves a smaller difference
+    ends = ends.select("l_source", "l_slot", "gap", F.when(whole, F.col("next.sampling_key")).otherwise(F.col("c_key")).alias("c_key"), F.when(~whole, F.col("f_key")).alias("f_key"))
+    ends = stored(ends, "mixture-ends")
     out = placed.join(ends, F.col("source").eqNullSafe(F.col("l_source")), "left")
     filled = (F.col("sampling_key") <= F.col("f_key")) & (F.col("size") * 4 <= F.col("gap"))
     chosen = F.coalesce((F.col("slot") < F.col("l_slot")) | ((F.col("slot") == F.col("l_slot")) & ((F.col("sampling_key") <= F.col("c_key")) | F.coalesce(filled, F.lit(False)))), F.lit(False))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, bin_packing, iso_media, ngram_jaccard, source_mixture, toxicity, vptree_ann
+from . import arrow_sequences, bin_packing, iso_media, license_scan, masked_lm, ngram_jaccard, site_style_tree, source_mixture, toxicity, vptree_ann
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,23 @@ def op1_vptree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree_ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.license_scan(license_scan.document_paths(table(spark, sf_dir, "documents")))
+    return scanned.withColumnRenamed("file_id", "doc_id")
+
+
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixture.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,9 +54,15 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_vptree_ann, op4_arrow_sequences, op6_source_mixture, op7_toxicity_ftrl, op8_ngram_jaccard, op9_iso_media, op10_bin_packing)
-    return {f.__name__: f for f in own}
+    own = (op1_vptree_ann, op2_license_scan, op3_site_style_tree, op4_arrow_sequences, op5_masked_lm, op6_source_mixture, op7_toxicity_ftrl, op8_ngram_jaccard, op9_iso_media, op10_bin_packing)
+    return {f.__name__: f for f in own} | {"pipeline": corpus}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # An English stop-word list of 318 words; comparisons with it heed case.
 STOP_WORDS = tuple(
@@ -45,14 +46,15 @@ def without_stop_words(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Col
 
 def ngrams(words: Column, n: int = 3) -> Column:
     """All 1-grams, then 2-grams, up to n-grams, each joined by blanks."""
-    levels = []
-    for k in range(1, n + 1):
+
+    def level(k: int) -> Column:
         starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
-        levels.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, k), " ")))
-    return F.flatten(F.array(*levels))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+
+    return F.flatten(F.array(*[level(k) for k in range(1, n + 1)]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stem of each word."""
     from .porter2 import stem

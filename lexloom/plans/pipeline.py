@@ -52,8 +52,7 @@ class Classifier:
     def scored(self, docs: DataFrame) -> DataFrame:
         """docs with predicted; a document without a known term scores 0."""
         rows = classify.scores(self.model, self.features(docs))
-        known = F.size(F.filter(vector_to_array("features"), lambda x: x != 0)) > 0
-        return rows.withColumn("predicted", F.when(known, F.col("predicted")).otherwise(F.lit(0.0))).drop("features")
+        return rows.withColumn("predicted", F.when(F.col("n_terms") > 0, F.col("predicted")).otherwise(F.lit(0.0))).drop("features", "n_terms")
 
     def predictions(self, docs: DataFrame, threshold: float, title: str = "title") -> DataFrame:
         """title, prediction of documents at or above the threshold, and of those without a known term (0)."""

@@ -211,7 +211,8 @@ def ngram_jaccard(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     once = stored(buckets.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "buckets")
     members = banded.join(once, "bucket").groupBy("key").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))  # at most one for each band
     asked = stored(classes.select("key", "rep", "copies").join(members, "key"), "candidates")
-    texts = documents(docs, "doc_id", "text").join(asked, F.col("doc_id") == F.col("rep"))
+    # Candidates grow with the documents, so they are never broadcast.
+    texts = documents(docs, "doc_id", "text").join(asked.hint("merge"), F.col("doc_id") == F.col("rep"))
     sets = _gram_sets(texts, words)
     each = sets.select("key", "copies", "grams", F.transform("buckets", lambda b: b["bucket"]).alias("others"), F.explode("buckets").alias("b"))
     each = each.withColumn("n", F.ceil(F.col("b.size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key", "b.bucket"), F.col("n")))

@@ -1,8 +1,8 @@
 """Token-id output: Arrow stream files of equal-length sequences and masks, read back without copying.
 
 Documents are range-partitioned by doc_id and sorted; each partition is encoded and streamed to one Arrow file whose
-record batches hold `ids` (fixed-size list of unsigned 16-bit integers) and `mask` (fixed-size list of one byte an
-id, 0 for padding). Documents run on from one sequence to the next; a file's last sequence is padded. Since every
+record batches hold `ids` (fixed-size list of unsigned 16-bit integers) and `mask` (fixed-size list of booleans, one
+bit an id, false for padding). Documents run on from one sequence to the next; a file's last sequence is padded. Since every
 batch but the last has `BATCH` sequences, the place of any id in the file is plain arithmetic, and a memory map gives
 sequence, mask or document as views of the mapped bytes.
 
@@ -40,7 +40,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def schema(length: int = LENGTH) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceFile:
@@ -52,8 +52,7 @@ class SequenceFile:
 
     def _batch(self, data: bytes, real: int) -> None:
         ids = pa.Array.from_buffers(pa.uint16(), len(data) // 2, [None, pa.py_buffer(data)])
-        mask = np.zeros(len(data) // 2, np.uint8)
-        mask[:real] = 1
+        mask = np.arange(len(data) // 2) < real
         self.writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(ids, self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=schema(self.length)))
 
     def add(self, data: bytes) -> None:
@@ -79,14 +78,14 @@ class SequenceReader:
         self.length = self.batches[0].schema.field("ids").type.list_size if self.batches else LENGTH
         self.per_batch = self.batches[0].num_rows if self.batches else 1
 
-    def _flat(self, batch: int, column: int = 0) -> np.ndarray:
-        return self.batches[batch].column(column).flatten().to_numpy(zero_copy_only=True)
+    def _flat(self, batch: int) -> np.ndarray:
+        return self.batches[batch].column(0).flatten().to_numpy(zero_copy_only=True)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of sequence i."""
         b, at = divmod(i, self.per_batch)
-        cut = slice(at * self.length, (at + 1) * self.length)
-        return self._flat(b)[cut], self._flat(b, 1)[cut].astype(bool, copy=False)
+        ids = self._flat(b)[at * self.length : (at + 1) * self.length]
+        return ids, self.batches[b].column(1).flatten().slice(at * self.length, self.length)
 
     def span(self, start: int, n: int) -> list[np.ndarray]:
         """Views of n ids from place `start`, one for each record batch that they touch."""

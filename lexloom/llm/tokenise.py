@@ -1,21 +1,29 @@
-"""Whole-text token ids of the `tokenizers` library, with its results for single words kept for reuse.
-
-Both vocabularies used here split a text before their merges, and no piece of that split holds more than one leading
-blank. A text is therefore cut at single blanks, each part is encoded once by the library, and parts seen before come
-from a bounded table. Texts in which a cut could change the result (two white-space characters side by side, which
-the byte-level split joins) go to the library whole. The tests compare the ids with the library's for whole texts.
+"""Whole-text token ids of the `tokenizers` library, with its results for parts of a text kept for reuse.
+
+Both vocabularies used here split a text into pieces before their merges, and no piece holds more than one leading
+blank. A text is therefore cut at single blanks, and parts seen before come from a bounded table. A new part is cut
+into its pieces by the vocabulary's own pattern; the library encodes each new piece once. Texts and parts in which a
+cut could change the result (two white-space characters side by side, which the byte-level split joins; letters whose
+normal form or lower case depends on neighbours) go to the library whole. The tests compare the ids with the
+library's for whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+import regex
 
-#: Parts kept by one Python worker; further parts are encoded anew each time.
-CACHE_PARTS = 400_000
+#: Parts and pieces kept by one Python worker, and marks for what came once; others are encoded anew each time.
+KEPT_PARTS, KEPT_PIECES, MARKS = 500_000, 300_000, 1 << 22
+#: The byte-level split of the library, whose vocabulary file only names it.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _DOUBLE_SPACE = re.compile(r"\s\s")
+#: Beyond this code point a letter may have marks to combine with, or a lower case of its own kind.
+_OTHER = re.compile("[^\x00-\u012f]")
 
 
 def vocabulary_path(name: str) -> str:
@@ -24,8 +32,28 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Kept(dict):
+    """Results by text, at most `most` of them; a text is kept when it comes for the second time."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.marks, self.marked = most, bytearray(MARKS), 0
+
+    def admit(self, new: dict[str, bytes]) -> None:
+        marks = self.marks
+        for text, ids in new.items():
+            at = hash(text) % MARKS
+            if not marks[at]:
+                marks[at] = 1
+                self.marked += 1
+            elif len(self) < self.most:
+                self[text] = ids
+        if self.marked > MARKS // 2:
+            self.marks, self.marked = bytearray(MARKS), 0
+
+
 class WordwiseEncoder:
-    """Encodes texts with a `tokenizers` file; `encode` gives each text's ids as little-endian unsigned 16-bit bytes."""
+    """Encodes texts with a `tokenizers` file; `encode` gives each text's ids as unsigned 16-bit numbers in bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,41 +64,63 @@ class WordwiseEncoder:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         #: With a normaliser that drops white space a blank is no part of a token.
         self.keeps_blanks = self.library.normalizer is None
-        self.cache: dict[str, bytes] = {}
+        self.lead = " " if self.keeps_blanks else ""
+        splits = [x["pattern"]["Regex"] for x in json.loads(self.library.to_str())["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
+        self.find = regex.compile(splits[0] if splits else BYTE_LEVEL).findall
+        self.parts, self.pieces = Kept(KEPT_PARTS), Kept(KEPT_PIECES)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, part: str) -> list[str]:
+        """The pieces of a part without white space at its sides."""
+        if not self.keeps_blanks:
+            if _OTHER.search(part):
+                return [part]
+            part = part.lower()
+        # Most parts are letters, with a full stop or comma at most: these need no pattern.
+        if part.isalpha():
+            return [self.lead + part]
+        if part[-1:] in (".", ",") and part[:-1].isalpha():
+            return [self.lead + part[:-1], part[-1]]
+        return self.find(self.lead + part)
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        cut = [self._pieces(p) for p in parts]
+        known = self.pieces
+        new = dict.fromkeys(x for c in cut for x in c if x not in known)
+        new.update(zip(new, self.whole(list(new)), strict=True))
+        get = known.get
+        out = [v if len(c) == 1 and (v := get(c[0])) is not None else b"".join([known[x] if x in known else new[x] for x in c]) for c in cut]
+        known.admit(new)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lead = " " if self.keeps_blanks else ""
-        parts: list[list[str] | None] = []
-        alone: dict[str, bytes] = {}
+        get = self.parts.get
+        first: list[str | None] = []  # what the library gets as it is: a text, or its first part
+        rest: list[list[str]] = []
         for text in texts:
-            if self.keeps_blanks and _DOUBLE_SPACE.search(text):
-                parts.append(None)
-                alone[text] = b""
+            if not self.keeps_blanks:
+                first.append(None)
+                rest.append(text.split(" "))
+            elif _DOUBLE_SPACE.search(text):
+                first.append(text)
+                rest.append([])
             else:
-                parts.append(text.split(" "))
-                if self.keeps_blanks:
-                    alone[parts[-1][0]] = b""
+                head, *tail = text.split(" ")
+                first.append(head)
+                rest.append(tail)
+        alone = dict.fromkeys(x for x in first if x is not None)
         alone.update(zip(alone, self.whole(list(alone)), strict=True))
-        rest = [p if p is None or not self.keeps_blanks else p[1:] for p in parts]
-        known = self.cache
-        new = dict.fromkeys(w for p in rest if p for w in p if w not in known)
-        new.update(zip(new, self.whole([lead + w for w in new]), strict=True))
-        if len(known) < CACHE_PARTS:
-            known.update(new)
-            get = known.__getitem__
-        else:
-            get = lambda w: known.get(w) if w in known else new[w]
+        found = [list(map(get, r)) for r in rest]
+        new = dict.fromkeys(w for r, f in zip(rest, found, strict=True) if None in f for w, v in zip(r, f, strict=True) if v is None)
+        new.update(zip(new, self._encode_parts(list(new)), strict=True))
         out = []
-        for text, p, r in zip(texts, parts, rest, strict=True):
-            if p is None:
-                out.append(alone[text])
-            elif self.keeps_blanks:
-                out.append(b"".join([alone[p[0]], *map(get, r)]))
-            else:
-                out.append(b"".join(map(get, r)))
+        for x, r, f in zip(first, rest, found, strict=True):
+            if None in f:
+                f = [new[w] if v is None else v for w, v in zip(r, f, strict=True)]
+            out.append(b"".join(f) if x is None else alone[x] + b"".join(f))
+        self.parts.admit(new)
         return out
 
 

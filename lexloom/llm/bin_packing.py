@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_chunks
+from .common import documents, partitions_for, stored, text_chunks
 from .tokenise import encoder, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -199,7 +199,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD, is
         if number:
             elite = state.groupBy("shard", "island").agg(*[F.min_by(c, quality).alias(c) for c in ("lengths", "genes", "bins", "squares")])
             state = state.unionByName(elite.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")))
-        state = stored(state.groupBy("shard", "island").applyInPandas(epoch(number), _STATE), f"packing-epoch{number}")
+        # As many tasks as the session has partitions: the rows are few bytes, but their search takes time.
+        state = stored(state.repartition(partitions_for(parts.sparkSession), "shard", "island").groupBy("shard", "island").applyInPandas(epoch(number), _STATE), f"packing-epoch{number}")
     best = state.groupBy("shard").agg(F.min_by("genes", quality).alias("genes"))
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

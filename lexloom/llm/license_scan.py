@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then inheritance by path.
 
-A licence file (named LICENSE, LICENCE, COPYING or NOTICE) is compared with the templates as a whole; any other file
+A licence file (named LICENSE, LICENCE, COPYING or NOTICE) is compared with the templates as a whole, and every file
 by each of its lines that uses the vocabulary of licences, a header wherever it stands. Vectors are sparse rows of
 (segment, term, weight); the templates' weights are a fixed table of a few hundred rows, which is broadcast. A file
 without a notice of its own inherits the licence of the nearest directory above it (or its own) that has a licence
@@ -59,9 +59,9 @@ def directory(path: Column) -> Column:
 
 
 def segments(files: DataFrame) -> DataFrame:
-    """file_id, segment, text: whole licence files, and the lines of other files that use licence vocabulary."""
+    """file_id, segment, text: whole licence files, and the lines of all files, that use licence vocabulary."""
     whole = F.col("path").rlike(LICENSE_FILE)
-    lines = files.where(~whole).select("file_id", F.posexplode(F.split("text", "\n")).alias("segment", "text"))
+    lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("segment", "text"))
     return files.where(whole).select("file_id", F.lit(-1).alias("segment"), F.col("text")).unionByName(lines).where(F.lower("text").rlike(ANCHOR))
 
 

@@ -31,7 +31,7 @@ from .components import components
 #: Words of an n-gram, least Jaccard similarity of a link, share of links at that similarity that banding must find.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Rows of a band; classes of a block; hashes of words that a worker keeps.
-ROWS, BLOCK, KEPT_WORDS = 8, 256, 1_000_000
+ROWS, BLOCK, KEPT_WORDS = 8, 256, 400_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 

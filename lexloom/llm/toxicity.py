@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import documents, stored, text_chunks
 
 #: Bits of a feature hash, passes over the sample, words whose hashes a worker keeps.
-BITS, PASSES, KEPT_WORDS = 20, 5, 1_000_000
+BITS, PASSES, KEPT_WORDS = 20, 5, 400_000
 #: Most documents of label 1 and of label 0 that are learned from.
 SAMPLE = (3_000, 6_000)
 #: FTRL-proximal: learning rate, its offset, L1 and L2 terms. Value of a pair's feature; a word's is 1.

@@ -7,8 +7,12 @@ importance mixes its own and its children's. Extraction reads each page again wi
 
 * what HTML or a class name declares as no content (menus, page headers, footers, sidebars, notices, adverts, forms,
   scripts, styles, comments of readers) goes;
-* if the page has an article, its text stays;
-* without one, branches of low importance go, and so do lists of links.
+* branches of low importance go, everywhere on the page, and so do texts that most pages of the host repeat;
+* an article is evidence beside it: inside one, less importance is enough; outside one, on a page that has one, only
+  what the tree knows as important stays; lists of links outside of articles go.
+
+Pages of a host with the same longest block are copies: they count once where a text's pages are counted, so an article
+that was published again is no boilerplate.
 
 The tree's statistics are counts of (host, node, feature), summed before the shuffle, so a hot host is never together
 in one task. The importances come back to pages by a join on the host: broadcast if their table is at most
@@ -36,8 +40,12 @@ from .common import stored, text_chunks
 
 #: Pages of a host from which a node's statistics count; share of a node's own importance; least importance that stays.
 LEAST_PAGES, OWN, THRESHOLD = 4, 0.3, 0.3
+#: Least importance that stays inside an article, and outside one on a page that has one.
+INSIDE, OUTSIDE = 0.15, 0.6
 #: Largest importance table that is broadcast.
 BROADCAST_BYTES = 16 * 2**20
+#: Hosts whose importances a task holds at once.
+HOSTS = 256
 
 # Fixed values of HTML: elements without an end tag, with raw text, that start a block, and that are no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -194,8 +202,11 @@ def parse(html: str) -> Element:
 
 
 def features(root: Element) -> Iterator[tuple[int, int, int]]:
-    """(node, kind, feature) of a page: kind 0 the presentation of an element, kind 1 a block's text, kind 2 the node itself."""
-    todo = [root]
+    """(node, kind, feature) of a page: kind 0 the presentation of an element, kind 1 a block's text, kind 2 the node itself.
+
+    Kind 3 has a text in place of the node, and the page's longest block; kind 4 that block alone.
+    """
+    todo, texts = [root], {}
     while todo:
         e = todo.pop()
         yield e.node, 2, 0
@@ -205,10 +216,16 @@ def features(root: Element) -> Iterator[tuple[int, int, int]]:
             if not style or style[-1] != name:
                 style.append(name)
             if isinstance(c, str):
-                yield e.node, 1, _hash(c)
+                texts[c] = _hash(c)
+                yield e.node, 1, texts[c]
             else:
                 todo.append(c)
         yield e.node, 0, _hash(*style)
+    if texts:
+        longest = texts[max(texts, key=lambda x: (len(x), x))]
+        yield 0, 4, longest
+        for x in texts.values():
+            yield x, 3, longest
 
 
 def importance(e: Element, own: dict[int, tuple[float, float]], out: dict[int, float]) -> float:
@@ -241,31 +258,38 @@ def _depth_limited(e: Element, limit: int = 400) -> None:
             level.extend((c, d + 1) for c in x.children if not isinstance(c, str))
 
 
-def main_text(html: str | None, own: dict[int, tuple[float, float]]) -> str:
-    """The page's main text, its blocks joined by one blank."""
+def main_text(html: str | None, own: dict[int, tuple[float, float]], repeated: dict[int, float] | None = None) -> str:
+    """The page's main text, its blocks joined by one blank. repeated: importances of texts that pages of the host repeat.
+
+    Without `repeated` (None) the host has too few different pages to judge the inside of articles.
+    """
     if not html:
         return ""
     root = parse(html)
     _depth_limited(root)
     found: dict[int, float] = {}
     importance(root, own, found)
-    inside: list[str] = []
-    other: list[str] = []
+    kept: list[str] = []
 
     def walk(e: Element) -> None:
         if e.dropped and not (e.named and e.around and not e.article):
             return
-        low = found[id(e)] < THRESHOLD  # a branch goes as a whole if all of it is low
+        known = e.node in own
+        if e.article:
+            least = INSIDE if repeated is not None else 0.0
+        else:
+            least = OUTSIDE if root.around else THRESHOLD
+        # A branch goes as a whole if all of it is low; beside an article, what the tree does not know goes too.
+        stays = found[id(e)] >= least and (e.article or not root.around or known)
+        stays = stays and (e.article or e.links * 2 <= sum(len(x) for x in e.children if isinstance(x, str)))
         for c in e.children:
             if not isinstance(c, str):
                 walk(c)
-            elif e.article:
-                inside.append(c)
-            elif not low and e.links * 2 <= sum(len(x) for x in e.children if isinstance(x, str)):
-                other.append(c)
+            elif stays and (not repeated or repeated.get(_hash(c), 1.0) >= least):
+                kept.append(c)
 
     walk(root)
-    return " ".join(inside or other)
+    return " ".join(kept)
 
 
 def host_of(url: Column) -> Column:
@@ -273,7 +297,10 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, nodes (array of node, presentation, content): importances of the hosts' nodes that enough pages have."""
+    """host, nodes (array of node, presentation, content), texts (array of text, importance; null: few pages).
+
+    Importances of the hosts' nodes that enough pages have, and of the texts that many of their different pages repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches, "html"):
@@ -285,27 +312,44 @@ def style_tree(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["host", "node", "kind", "feature", "n"])
 
     counted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node long, kind long, feature long, n long")
-    each = counted.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
+    each = stored(counted.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n")), "style-features")  # read three times
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
-    node = each.groupBy("host", "node").agg(of(2, F.col("n")).alias("m"), of(0, F.col("n")).alias("p_n"), of(0, F.col("n") * F.log("n")).alias("p_ln"), of(1, F.lit(1)).alias("c_n"), of(1, F.log("n")).alias("c_ln"))
+    node = each.where("kind < 3").groupBy("host", "node").agg(of(2, F.col("n")).alias("m"), of(0, F.col("n")).alias("p_n"), of(0, F.col("n") * F.log("n")).alias("p_ln"), of(1, F.lit(1)).alias("c_n"), of(1, F.log("n")).alias("c_ln"))
     scale = F.log("m")
     presentation = (F.log("p_n") - F.col("p_ln") / F.col("p_n")) / scale  # entropy of the children's sequences
     content = F.lit(1.0) - F.col("c_ln") / F.col("c_n") / scale  # one less the mean entropy of the texts over pages
     known = node.where(F.col("m") >= LEAST_PAGES).select("host", F.struct("node", F.coalesce(presentation, F.lit(1.0)).alias("presentation"), F.coalesce(content, F.lit(1.0)).alias("content")).alias("x"))
-    return known.groupBy("host").agg(F.collect_list("x").alias("nodes"))
+    pages_of = each.where("kind = 4").groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    text = each.where("kind = 3").groupBy("host", "node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES - 1)
+    value = F.lit(1.0) - F.log("n") / F.log("pages")
+    low = text.join(pages_of, "host").select("host", F.col("node").alias("text"), value.alias("importance")).where(F.col("importance") < OUTSIDE)
+    texts = low.groupBy("host").agg(F.collect_list(F.struct("text", "importance")).alias("texts"))
+    texts = pages_of.select("host").join(texts, "host", "left").select("host", F.coalesce("texts", F.array().cast("array<struct<text:long,importance:double>>")).alias("texts"))
+    return known.groupBy("host").agg(F.collect_list("x").alias("nodes")).join(texts, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     tree = stored(style_tree(pages), "style-tree").withColumnRenamed("host", "t_host")
-    size = tree.agg(F.sum(F.size("nodes") * 24 + F.length("t_host") + 32)).head()[0] or 0
+    size = tree.agg(F.sum(F.size("nodes") * 24 + F.coalesce(F.size("texts"), F.lit(0)) * 16 + F.length("t_host") + 32)).head()[0] or 0
     tree = F.broadcast(tree) if size <= BROADCAST_BYTES else tree
     plain = pages.select("page_id", "url", "html")
-    joined = plain.join(tree, host_of(F.col("url")) == F.col("t_host"), "left").select("page_id", "url", "nodes", "html")
+    joined = plain.join(tree, host_of(F.col("url")) == F.col("t_host"), "left").select("page_id", "url", "t_host", "nodes", "texts", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts: dict[str | None, tuple] = {}  # of a host's importances, read once for many of its pages
+
+        def of(host: str | None, batch: pa.RecordBatch, i: int) -> tuple:
+            if host not in hosts:
+                if len(hosts) >= HOSTS:
+                    hosts.clear()
+                nodes, low = batch.column(3)[i].as_py(), batch.column(4)[i].as_py()
+                hosts[host] = {x["node"]: (x["presentation"], x["content"]) for x in nodes or ()}, None if low is None else {x["text"]: x["importance"] for x in low}
+            return hosts[host]
+
         for batch, texts in text_chunks(batches, "html"):
-            out = [main_text(html, {x["node"]: (x["presentation"], x["content"]) for x in nodes or ()}) for nodes, html in zip(batch.column(2).to_pylist(), texts, strict=True)]
+            names = batch.column(2).to_pylist()
+            out = [main_text(html, *of(host, batch, i)) for i, (host, html) in enumerate(zip(names, texts, strict=True))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -216,6 +216,19 @@ def test_main_text(spark):
     assert site_style_tree.main_text("<div>" * 3000 + "deep", {}) == "deep"
 
 
+def test_main_text_judges_articles_by_the_style_tree(spark):
+    own = lambda i: " ".join(f"{w}{i * 7 + k}" for k, w in enumerate(("alpha", "beta", "gamma", "delta", "eta", "theta", "iota", "kappa", "mu", "nu")))
+    rows = [(i, f"http://n.org/{i}", f"<article><p>{own(i)}</p><p>Read our house rules first</p><p>more {own(i + 50)}</p><div class='x'><p>Sold by Example</p></div></article>") for i in range(20)]
+    # The main text is outside of the article, which is a teaser that all pages share.
+    rows += [(100 + i, f"http://o.org/{i}", f"<article><p>Subscribers read more</p></article><div class='t'><p>{own(i)}</p></div>") for i in range(20)]
+    # Copies of one article, and four other pages, are not boilerplate.
+    rows += [(200 + i, f"http://c.org/{i}", f"<article><h1>Title</h1><p>{own(min(i, 4))}</p></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{own(i)} more {own(i + 50)}" for i in range(20))
+    assert all(got[100 + i] == own(i) for i in range(20))
+    assert all(own(min(i, 4)) in got[200 + i] for i in range(20))
+
+
 def test_masked_model(docs, empty):
     got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(docs).collect()}
     assert got[4].n_tokens == 0 and got[5].log_likelihood == 0.0 and got[5].mean_log_likelihood is None

@@ -253,6 +253,34 @@ def test_masked_model_sums_its_conditionals():
     assert np.allclose(np.exp(net.log_probabilities(np.array([0, 5]))).sum(axis=1), 1, atol=1e-5)
 
 
+def test_masked_windows_are_whole():
+    """Every character and all four neighbours count, also of characters outside of the network's alphabet."""
+    rare = "0123456789" + "".join(chr(0x400 + i) for i in range(64))
+    texts = [f"number {c} is {c}{c} " * (3 + i) for i, c in enumerate(rare)] + ["the tale of a cat " * 400, "", "a\0b"]
+    left, right, sizes = masked_lm.packed(texts)
+    parts = masked_lm.merged([(left, right, np.ones(len(left)))])
+    seen = Counter(w for t in texts for w in ((lambda x: [x[i : i + 5] for i in range(len(t))])([None, None, *t, None, None])) for w in [tuple(w)])
+    assert len(parts[0]) == len(seen) and sorted(parts[2].tolist()) == sorted(seen.values())
+    model = masked_lm.fitted(*parts, steps=20)
+    value, known = masked_lm.Windows(model.key, model.value).find(masked_lm.keys(left, right))
+    assert known.all() and (value < 0).all() and len(set(np.round(model.value, 6).tolist())) > 200
+    n4, n2 = Counter(), Counter()
+    for w, n in seen.items():
+        n4[w[:2] + w[3:]] += n
+        n2[w[1], w[3]] += n
+    characters = [(tuple(x[i : i + 5]), j) for j, t in enumerate(texts) for x in [[None, None, *t, None, None]] for i in range(len(t))]
+    b, n2c = masked_lm.BACK_OFF, Counter()
+    for w, n in seen.items():
+        n2c[w[1], w[2], w[3]] += n
+    cells, _ = masked_lm.windows(texts, model.alphabet.table(), model.alphabet.kinds)
+    for i in range(0, len(characters), 997):
+        w = characters[i][0]
+        p = math.exp(model.base[cells[i]] + model.other[ord(w[2])])
+        p = (n2c[w[1], w[2], w[3]] - 1 + b * p) / (n2[w[1], w[3]] - 1 + b)
+        p = (seen[w] - 1 + b * p) / (n4[w[:2] + w[3:]] - 1 + b)
+        assert abs(value[i] - math.log(p)) < 1e-4
+
+
 def test_masked_gradient_against_differences():
     net = masked_lm.Network(4)
     contexts, counts = np.array([70, 4200]), np.random.default_rng(0).random((2, 64)).astype(np.float32)

@@ -281,6 +281,17 @@ def test_masked_windows_are_whole():
         assert abs(value[i] - math.log(p)) < 1e-4
 
 
+def test_masked_windows_grow_with_the_corpus(spark):
+    rng, sizes = np.random.default_rng(3), []
+    for n in (20, 200):
+        texts = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 50)) for _ in range(n)]
+        got = masked_lm.window_counts(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas()
+        expected = {tuple(x[i : i + 5]) for t in texts for x in [[None, None, *t, None, None]] for i in range(len(t))}
+        assert len(got) == len(expected) and got.n.sum() == 50 * n
+        sizes.append(len(got))
+    assert sizes[1] > 9 * sizes[0]
+
+
 def test_masked_gradient_against_differences():
     net = masked_lm.Network(4)
     contexts, counts = np.array([70, 4200]), np.random.default_rng(0).random((2, 64)).astype(np.float32)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions_for, shared_dir, stored, text_chunks
+from .common import documents, partitions_by_size, shared_dir, stored, text_chunks
 from .tokenise import encoder, vocabulary_path
 
 #: Ids of a sequence, sequences of a record batch, and the id that ends each document.
@@ -101,8 +101,9 @@ def write_sequences(docs: DataFrame, path: str | None = None, folder: str | None
     """Writes the files and gives their index: file, place (of the file), doc_id, local_start, n_tokens."""
     spark = docs.sparkSession
     path, folder = path or vocabulary_path(VOCABULARY), folder or shared_dir(spark, "sequences")
-    # A partition for each task at least, and so many that one holds some 10 MB of text or less at the session's setting.
-    ordered = documents(docs, "doc_id", "text").repartitionByRange(partitions_for(spark), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    plain = documents(docs, "doc_id", "text")
+    # A file for each partition: as many as the session asks for, or more where the table is large.
+    ordered = plain.repartitionByRange(partitions_by_size(plain), F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     mark = np.array([end], np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions_for, stored, text_chunks
+from .common import Bounded, documents, partitions_for, stored, text_chunks, worker_keeps
 from .components import components
 
 #: Words of an n-gram, least Jaccard similarity of a link, share of links at that similarity that banding must find.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Rows of a band; classes of a block; hashes of words that a worker keeps.
-ROWS, BLOCK, KEPT_WORDS = 8, 256, 400_000
+ROWS, BLOCK, KEPT_WORDS = 8, 256, 300_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -46,17 +46,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < KEPT_WORDS:
-            self[word] = value
-        return value
-
-
-@lru_cache(maxsize=1)
-def _words() -> _WordHashes:
-    return _WordHashes()
+def _words() -> Bounded:
+    """Hashes of words by word, bounded, in a Python worker."""
+    return worker_keeps("ngram_jaccard", lambda: Bounded(xxhash.xxh3_64_intdigest, KEPT_WORDS))
 
 
 def ngram_hashes(text: str | None, n: int = WORDS) -> np.ndarray:

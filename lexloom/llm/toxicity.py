@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_chunks
+from .common import Bounded, documents, stored, text_chunks, worker_keeps
 
 #: Bits of a feature hash, passes over the sample, words whose hashes a worker keeps.
-BITS, PASSES, KEPT_WORDS = 20, 5, 400_000
+BITS, PASSES, KEPT_WORDS = 20, 5, 300_000
 #: Most documents of label 1 and of label 0 that are learned from.
 SAMPLE = (3_000, 6_000)
 #: FTRL-proximal: learning rate, its offset, L1 and L2 terms. Value of a pair's feature; a word's is 1.
@@ -36,17 +35,9 @@ ALPHA, BETA, L1, L2, PAIR = 3.0, 1.0, 3.0, 0.01, 0.25
 _WORD = re.compile(r"[^\W_]+")
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < KEPT_WORDS:
-            self[word] = value
-        return value
-
-
-@lru_cache(maxsize=1)
-def _words() -> _WordHashes:
-    return _WordHashes()
+def _words() -> Bounded:
+    """Hashes of words by word, bounded, in a Python worker."""
+    return worker_keeps("toxicity", lambda: Bounded(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), KEPT_WORDS))
 
 
 def feature_hashes(text: str | None, bits: int = BITS) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .license_scan import ANCHOR, LICENSE_FILE, MIDDLE, SHORT, TERM, THRESHOLD, template_terms
+from collections import Counter
+
+from .license_scan import LICENSE_FILE, MARKS, MIDDLE, SHORT, TERM, THRESHOLD, anchor_places, inverse_frequencies, templates
 from .source_mixture import MOST, SYMBOLS, WEIGHTS
 
 NEAREST = """
@@ -60,22 +62,29 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((epochs +
 
 
 def license_sql() -> str:
-    rows = template_terms()
-    values = ", ".join(f"({n}, '{name}', '{term}', {count}, {idf!r}::DOUBLE)" for n, name, term, count, idf in rows[:-1])
+    idf, unknown = inverse_frequencies()
+    every = list(enumerate(templates()))
+    values = ", ".join(f"({k}, '{name}', '{term}', {n}, {idf[term]!r}::DOUBLE)" for k, (name, terms) in every for term, n in Counter(terms).items())
+    places = ", ".join(f"({k}, '{terms[at]}', {at}, {len(terms)})" for k, (_, terms) in every for at in anchor_places(terms))
+    notice = " OR ".join(f"contains(low, '{m}')" for m in MARKS)
     return rf"""
 WITH tt(template, license, t_term, t_count, idf) AS (VALUES {values}),
+tp(template, term, place, size) AS (VALUES {places}),
 tn AS (SELECT template, sqrt(sum((t_count * idf) ** 2)) AS t_norm FROM tt GROUP BY template),
 wt AS (SELECT DISTINCT t_term, idf FROM tt),
-d0 AS (SELECT doc_id, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, regexp_matches(lower(coalesce(text, '')), '{ANCHOR}') AS notice, '/' || coalesce(source, '-') || '/' || coalesce(lang, '-') AS lang FROM documents),
-f AS (SELECT doc_id, text, CASE WHEN notice AND words <= {SHORT} THEN lang || '/LICENSE-' || doc_id WHEN notice AND words <= {MIDDLE} THEN lang || '/' || (doc_id // 256) || '/LICENSE-' || doc_id ELSE lang || '/' || (doc_id // 256) || '/' || doc_id || '.txt' END AS path FROM d0),
+l0 AS (SELECT *, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+d0 AS (SELECT doc_id, low, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, {notice} AS notice, '/' || coalesce(source, '-') || '/' || coalesce(lang, '-') AS lang FROM l0),
+f AS (SELECT doc_id, low, notice, CASE WHEN notice AND words <= {SHORT} THEN lang || '/LICENSE-' || doc_id WHEN notice AND words <= {MIDDLE} THEN lang || '/' || (doc_id // 256) || '/LICENSE-' || doc_id ELSE lang || '/' || (doc_id // 256) || '/' || doc_id || '.txt' END AS path FROM d0),
 fd AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_matches(path, '{LICENSE_FILE}') AS whole FROM f),
-seg AS (SELECT doc_id, -1 AS segment, text FROM fd WHERE whole UNION ALL SELECT doc_id, unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM fd),
-tok AS (SELECT doc_id, segment, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM seg WHERE regexp_matches(lower(text), '{ANCHOR}')),
-cnt AS (SELECT doc_id, segment, term, count(*) AS tf FROM tok GROUP BY ALL),
-ww AS (SELECT cnt.*, tf * coalesce(idf, {rows[-1][4]!r}::DOUBLE) AS w FROM cnt LEFT JOIN wt ON term = t_term),
-nn AS (SELECT doc_id, segment, sqrt(sum(w ** 2)) AS norm FROM ww GROUP BY ALL),
-dot AS (SELECT doc_id, segment, tt.template, license, sum(w * t_count * idf) AS dot FROM ww JOIN tt ON term = t_term GROUP BY ALL),
-sc AS (SELECT doc_id, license, round(dot / norm / t_norm, 6) AS score FROM dot JOIN nn USING (doc_id, segment) JOIN tn USING (template)),
+tx AS MATERIALIZED (SELECT doc_id, whole, regexp_extract_all(low, '{TERM}') AS t FROM fd WHERE notice),
+hit AS (SELECT doc_id, unnest(t) AS term, unnest(range(len(t))) AS i FROM tx),
+win AS (SELECT DISTINCT doc_id, template, greatest(i - place, 0) AS first, i - place + size AS last FROM hit JOIN tp USING (term) UNION SELECT doc_id, template, 0, len(t) FROM tx, tn WHERE whole),
+seg AS (SELECT doc_id, template, first, last, unnest(t[first + 1 : last]) AS term FROM win JOIN tx USING (doc_id)),
+cnt AS (SELECT doc_id, template, first, last, term, count(*) AS tf FROM seg GROUP BY ALL),
+ww AS (SELECT cnt.*, tf * coalesce(idf, {unknown!r}::DOUBLE) AS w FROM cnt LEFT JOIN wt ON term = t_term),
+nn AS (SELECT doc_id, template, first, last, sqrt(sum(w ** 2)) AS norm FROM ww GROUP BY ALL),
+dot AS (SELECT doc_id, ww.template, first, last, license, sum(w * t_count * idf) AS dot FROM ww JOIN tt ON term = t_term AND ww.template = tt.template GROUP BY ALL),
+sc AS (SELECT doc_id, license, round(dot / norm / t_norm, 6) AS score FROM dot JOIN nn USING (doc_id, template, first, last) JOIN tn USING (template)),
 own AS (SELECT doc_id, license AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k FROM sc WHERE score >= {THRESHOLD}) WHERE k = 1),
 s AS (SELECT doc_id, path, dir, whole, own_license, own_score FROM fd LEFT JOIN own USING (doc_id)),
 hold AS (SELECT dir AS h_dir, own_license AS dir_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license, doc_id) AS k FROM s WHERE whole AND own_license IS NOT NULL) WHERE k = 1),

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions_by_size, shared_dir, stored, text_chunks
-from .tokenise import encoder, vocabulary_path
+from .common import documents, partitions_by_size, shared_dir, slices, stored
+from .tokenise import SLICE_BYTES, encoder, vocabulary_path
 
 #: Ids of a sequence, sequences of a record batch, and the id that ends each document.
 LENGTH, BATCH, END = 2048, 256, 2
@@ -114,9 +114,9 @@ def write_sequences(docs: DataFrame, path: str | None = None, folder: str | None
         encode, at = encoder(path).encode, 0
         with fs.open_output_stream(draft) as sink:
             file = SequenceFile(sink, length)
-            for batch, texts in text_chunks(batches):
+            for batch in slices(batches, limit=SLICE_BYTES):
                 starts, sizes = [], []
-                for data in encode(texts):
+                for data in encode(batch.column(1)):
                     file.add(data + mark)
                     starts.append(at)
                     sizes.append(len(data) // 2 + 1)

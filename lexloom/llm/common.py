@@ -89,12 +89,8 @@ class Bounded(dict):
         return value
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with their texts (null: empty), each slice of `limit` UTF-8 bytes at most.
-
-    Slices are cut by byte offsets, before any text becomes a Python string. A single longer text makes a slice of its
-    own; no text is cut.
-    """
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most `limit` UTF-8 bytes of text each; a single longer text makes a slice of its own."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -102,12 +98,17 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         while start < batch.num_rows:
             base = int(ends[start - 1]) if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            part = batch.slice(start, stop - start)
-            yield part, [x or "" for x in part.column(at).to_pylist()]
+            yield batch.slice(start, stop - start)
             start = stop
     pa.default_memory_pool().release_unused()
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """`slices` with their texts (null: empty). Slices are cut by byte offsets, before any text becomes a Python string; no text is cut."""
+    for part in slices(batches, column, limit):
+        yield part, [x or "" for x in part.column(part.schema.get_field_index(column)).to_pylist()]
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of a documents table; other columns may have any names."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

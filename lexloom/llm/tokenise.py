@@ -1,9 +1,9 @@
 """Whole-text token ids of the `tokenizers` library, with its results for parts of a text kept for reuse.
 
 Both vocabularies used here split a text into pieces before their merges, and no piece holds more than one leading
-blank. A text is therefore cut at single blanks that have no other white space beside them, and parts seen before come
-from a bounded table. A new part is cut into its pieces by the vocabulary's own pattern, and the library's model
-merges each piece that is not in a second bounded table. Asking the model for pieces skips the library's own search
+blank. A text is therefore cut at single blanks that have no other white space beside them (and at single line ends),
+and parts seen before come from a bounded table. A new part is cut into its pieces by the vocabulary's own pattern,
+and the library's model merges each piece that is not known. Asking the model for pieces skips the library's own search
 for them and its offsets, which cost three to four times as much as the merges. Parts with characters beyond Latin
 letters (whose normal form, lower case or class could differ between the pattern and the library) go to the library
 as they are. The tests compare the ids with the library's for whole texts.
@@ -19,18 +19,26 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from .common import worker_keeps
 
-#: Parts and pieces of a generation that one Python worker keeps, and most characters of a kept one.
-KEPT_PARTS, KEPT_PIECES, LONGEST = 300_000, 150_000, 64
+#: Parts, and pieces that follow no blank, of a generation that one Python worker keeps; most characters of a kept one.
+KEPT_PARTS, KEPT_GLUED, LONGEST = 400_000, 50_000, 64
 #: The byte-level split of the library, whose vocabulary file only names it.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A blank beside other white space, and the blanks at which a text that has one may be cut.
-_WIDE_SPACE, _CUT = re.compile(r" \s|\s "), re.compile(r"(?<=\S) (?=\S)")
-#: Characters that only the library handles: control characters, and letters that may combine or have a lower case of their own kind.
-_OTHER = re.compile("[^\t\n\x20-\x7e\xa1-į]")
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 4_000_000
+#: Stands before a text's first part, which no blank precedes.
+BEGINNING = "\x01"
+#: White space beside white space or the mark in a text, in Arrow's syntax; the blanks at which such a text may be cut.
+_SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_SPECIAL, _CUT = f"{_SPACE}{_SPACE}|{BEGINNING}", re.compile(r"(?<=\S) (?=\S)")
+#: The last letter that the pattern and the library surely see alike; characters that only the library handles.
+LAST, _OTHER = "į", re.compile("[^\t\n\x20-\x7e\xa1-į]")
 
 
 def vocabulary_path(name: str) -> str:
@@ -78,43 +86,83 @@ class WordwiseEncoder:
             raise ValueError("ids of this vocabulary do not fit 16 bits")
         #: With a normaliser that drops white space a blank is no part of a token.
         self.keeps_blanks = self.library.normalizer is None
-        self.lead = " " if self.keeps_blanks else ""
+        self.lead, self.mapped_lead = (" ", byte_characters()[32]) if self.keeps_blanks else ("", "")
         splits = [x["pattern"]["Regex"] for x in json.loads(self.library.to_str())["pre_tokenizer"].get("pretokenizers", []) if x["type"] == "Split"]
         self.find = regex.compile(splits[0] if splits else BYTE_LEVEL).findall
         self.tokenize, self.map = self.library.model.tokenize, byte_characters()
-        self.parts, self.pieces = Kept(self._part, KEPT_PARTS), Kept(self._merge, KEPT_PIECES)
+        self.parts, self.glued = Kept(self._part, KEPT_PARTS), Kept(self._merge, KEPT_GLUED)
 
     def whole(self, text: str) -> bytes:
         return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merge(self, piece: str) -> bytes:
-        """Ids of one piece."""
+        """Ids of one piece as it is."""
         return array("H", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.map))]).tobytes()
 
+    def _pieces(self, part: str, lead: str) -> bytes:
+        """Ids of a part's pieces, by the vocabulary's pattern."""
+        first, *rest = self.find(lead + part) or ("",)
+        head = first[len(lead) :]
+        ids = self.parts[head] if lead == self.lead and head != part and head.isalpha() else self._merge(first)
+        return ids + b"".join(map(self.glued.__getitem__, rest))
+
     def _part(self, part: str) -> bytes:
-        """Ids of a part without white space at its sides."""
-        if not (part.isascii() and part.isprintable()) and _OTHER.search(part):
-            return self.whole(self.lead + part)
+        """Ids of a part that follows a blank, or that begins with a line's end or with the mark of a text's beginning."""
+        if not part or self.keeps_blanks and part[0] == BEGINNING:
+            return self.whole(part[1:] if part else self.lead)
+        plain = part.isprintable() and (part.isascii() or max(part) <= LAST)
+        if not plain and _OTHER.search(part):
+            return self.whole(part if part[0] == "\n" else self.lead + part)
         if not self.keeps_blanks:
             part = part.lower()
         # Most parts are letters, with a full stop or comma at most: these need no pattern.
         if part.isalpha():
-            return self.pieces[self.lead + part]
+            if part.isascii():
+                return array("H", [t.id for t in self.tokenize(self.mapped_lead + part)]).tobytes()
+            return self._merge(self.lead + part)
         if part[-1:] in (".", ",") and part[:-1].isalpha():
-            return self.pieces[self.lead + part[:-1]] + self.pieces[part[-1]]
-        return b"".join(map(self.pieces.__getitem__, self.find(self.lead + part)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        ids_of, out = self.parts.__getitem__, []
-        for text in texts:
-            if not self.keeps_blanks:
-                out.append(b"".join(map(ids_of, text.split(" "))))
-                continue
-            rest = _CUT.split(text) if _WIDE_SPACE.search(text) else text.split(" ")
-            # A text's first part has no blank before it; white space may stand at its sides, as at the last one's.
-            first = self.whole(rest.pop(0))
-            last = self.whole(" " + rest.pop()) if rest and rest[-1][-1:].isspace() else b""
-            out.append(first + b"".join(map(ids_of, rest)) + last)
+            return self.parts[part[:-1]] + self.glued[part[-1]]
+        if part[0] == "\n":
+            return self.glued["\n"] + self._pieces(part[1:], "") if len(part) > 1 else self.glued["\n"]
+        return self._pieces(part, self.lead)
+
+    def _spaced(self, text: str) -> bytes:
+        """Ids of a text that has white space beside white space, or the mark itself."""
+        first, *rest = _CUT.split(text)
+        last = self.whole(" " + rest.pop()) if rest and rest[-1][-1:].isspace() else b""
+        parts = [x if x[:1] not in ("\n", BEGINNING) else None for x in rest]
+        return self.whole(first) + b"".join([self.whole(" " + r) if x is None else self.parts[x] for x, r in zip(parts, rest, strict=True)]) + last
+
+    def encode(self, texts: pa.StringArray | list[str]) -> list[bytes]:
+        """The ids of every text (null: none). Parts are told apart once for all the texts, by Arrow."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        out: list[bytes] = [b""] * len(texts)
+        line = " \n" if self.keeps_blanks else " "
+        if self.keeps_blanks:
+            special = pc.match_substring_regex(texts, _SPECIAL)
+            for i in pc.indices_nonzero(special).to_pylist():
+                out[i] = self._spaced(texts[i].as_py())
+            at = pc.indices_nonzero(pc.invert(special)).to_numpy()
+            texts = pc.binary_join_element_wise(pa.scalar(BEGINNING), texts.filter(pc.invert(special)), "")
+        else:
+            at = np.arange(len(texts))
+        if not len(at):
+            return out
+        # A part that begins a line has no blank before it; it keeps the line's end instead.
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", line), " ")
+        coded = parts.flatten().dictionary_encode()
+        # No part holds a blank, so all of them become strings at once.
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ")
+        known = list(map(self.parts.__getitem__, distinct))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        ids, starts = np.frombuffer(b"".join(known), np.uint16), np.cumsum(sizes) - sizes
+        place = coded.indices.to_numpy()
+        n = sizes[place]
+        ends = np.cumsum(n)
+        ids = ids[np.repeat(starts[place] - (ends - n), n) + np.arange(int(ends[-1]))]
+        bounds = np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        for i, a, b in zip(at.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i] = ids[a:b].tobytes()
         return out
 
 

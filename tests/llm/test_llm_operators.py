@@ -60,6 +60,31 @@ def test_packing(docs, empty):
         assert r.offset == fill.get(r.sequence_id, 0) and r.start == r.piece * 2048 and 1 <= r.length <= 2048
         fill[r.sequence_id] = r.offset + r.length
     assert max(fill.values()) <= 2048 and len(fill) - -(-sum(fill.values()) // 2048) <= 1
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bin_packing.vocabulary_path(bin_packing.VOCABULARY))
+    expected = Counter()
+    for doc_id, text, *_ in ROWS:
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        expected.update((doc_id, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == expected
+
+
+def test_packing_over_shards(spark):
+    """Worst-filled bins of all shards are packed again together; tiny pieces and repeated rows end as well."""
+    draw = np.random.default_rng(2)
+    for lengths in (draw.integers(1, 1500, 900).tolist(), [1] * 700, [2047] * 30, [5] * 400 + [1024] * 100):
+        rows = [(i, 7, 0, 0, n, 9) for i, n in enumerate(lengths)]  # equal but for their own row numbers
+        got = bin_packing.pack(spark.createDataFrame(rows, bin_packing._PIECES), shard_rows=128).collect()
+        fill = Counter()
+        for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == fill[r.sequence_id]
+            fill[r.sequence_id] += r.length
+        assert len(got) == len(lengths) and max(fill.values()) <= 2048
+        bins: list = []
+        fills: list = []
+        bin_packing.best_fit(bins, fills, list(range(len(lengths))), lengths, 2048)
+        assert len(fill) <= len(bins) * 1.01 + 8
 
 
 def test_packing_search_is_a_partition_and_no_worse_than_best_fit():
@@ -71,7 +96,10 @@ def test_packing_search_is_a_partition_and_no_worse_than_best_fit():
     last = bin_packing.evolve(first, lengths, 2048, draw, 10)
     for p in (*first, *last):
         assert sorted(i for b in p.bins for i in b) == list(range(400)) and max(p.fills) <= 2048
-    assert len(last[0].bins) <= len(first[0].bins)
+    assert len(last[0].bins) <= min(len(p.bins) for p in first)
+    bins: list = []
+    bin_packing.best_fit(bins, [], list(range(400)), lengths, 2048)
+    assert len(last[0].bins) <= len(bins)
     assert last[0].genes(400).tolist() == bin_packing.Packing.of(last[0].genes(400), lengths).genes(400).tolist()
 
 

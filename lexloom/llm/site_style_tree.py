@@ -49,18 +49,20 @@ HOSTS = 256
 
 # Fixed values of HTML: elements without an end tag, with raw text, that start a block, and that are no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe template noembed noframes xmp svg math object select canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
+RAW = frozenset("script style title textarea iframe template noembed noframes xmp svg object select canvas".split())
+BLOCK = frozenset("address article noscript aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup legend summary body html head".split())
 ENDS_OWN = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr"), "tfoot": ("tbody", "tr")}
 SCOPE = frozenset("table ul ol dl div section article aside nav body html".split())
-NO_CONTENT = frozenset("nav footer aside form button head dialog menu fieldset label datalist".split())
+NO_CONTENT = frozenset("nav footer aside form button head dialog menu fieldset label datalist noscript".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NO_CONTENT_CLASSES = frozenset(
     "ad ads adv advert advertisement adverts adsense advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice notices notification alert "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead topbar toolbar pagination pager share sharing social subscribe newsletter signup login "
     "search searchbox form comment comments commentlist reply replies respond disqus related recommended recommendations tags toc skip hidden copyright legal".split()
 )
+#: Words that say where or how something stands; a name made of them and of the words above is one of those.
+NEUTRAL = frozenset("site page main top bottom left right inner outer wrapper wrap container box block area section bar list item items links link content text row col column head title desktop mobile fixed sticky primary secondary global local js c u l m o is has no the and of for".split())
 ARTICLE_CLASSES = frozenset("article articlebody post postcontent entry entrycontent story storybody".split())
 
 HEADINGS = frozenset("header masthead banner".split())
@@ -97,8 +99,11 @@ def _names(attrs: str) -> tuple[str, set[str], set[str], bool]:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
             for x in value.split():
-                words.update(_NAME.findall(x))
-                words.add("".join(_NAME.findall(x)))
+                parts = _NAME.findall(x)
+                words.add("".join(parts))
+                # Only a name that says nothing else: "cookie-notice-top" is one, "legal-history" is not.
+                if all(p in NO_CONTENT_CLASSES or p in ARTICLE_CLASSES or p in NEUTRAL for p in parts):
+                    words.update(parts)
             if name == "class":
                 signature = " ".join(sorted(re.sub(r"\d+", "", x) for x in value.split()))
         elif name == "role":

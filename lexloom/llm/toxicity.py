@@ -4,8 +4,9 @@ A text's features are the distinct hashes of its words, word pairs and pairs wit
 and digits only. Training follows labelled documents one by one: each coordinate has its own learning rate, and the L1
 term leaves most weights at zero, so that the few others make a compact broadcast (at most `2**BITS` of them).
 
-The model learns from at most `SAMPLE` labelled documents of either class, those of least id hash; this is the
-documented bound of the classifier's sample. Their feature hashes, not their texts, come to the driver. Scores cover every whole text.
+The model learns from at most `SAMPLE` labelled documents of either class, those of least id hash, and of these as many
+as have `SAMPLE_BYTES` of feature hashes together; these are the documented bounds of the classifier's sample. Their
+whole texts' feature hashes, not their texts, come to the driver. Scores cover every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the bias; labels without a document and
 documents without a label are left out of training; of several labels the largest counts; without any label of either
@@ -30,6 +31,8 @@ from .common import Bounded, documents, stored, text_chunks, worker_keeps
 BITS, PASSES, KEPT_WORDS = 20, 5, 300_000
 #: Most documents of label 1 and of label 0 that are learned from.
 SAMPLE = (3_000, 6_000)
+#: Most bytes of feature hashes (4 each) that come to the driver.
+SAMPLE_BYTES = 128_000_000
 #: FTRL-proximal: learning rate, its offset, L1 and L2 terms. Value of a pair's feature; a word's is 1.
 ALPHA, BETA, L1, L2, PAIR = 3.0, 1.0, 3.0, 0.01, 0.25
 _WORD = re.compile(r"[^\W_]+")
@@ -111,7 +114,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
         for batch, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([feature_hashes(t, bits).tobytes() for t in texts], pa.binary())], names=["doc_id", "toxic", "order", "features"])
 
-    rows = found.mapInArrow(run, "doc_id long, toxic int, order long, features binary").collect()
+    made = stored(found.mapInArrow(run, "doc_id long, toxic int, order long, features binary"), "toxicity-features")
+    last, size = None, 0
+    for r in made.groupBy("order").agg(F.sum(F.length("features")).alias("size")).orderBy("order").collect():  # a row for each document of the sample
+        size += r["size"]
+        if size > SAMPLE_BYTES and last is not None:
+            break
+        last = r["order"]
+    if last is None:
+        return None
+    rows = made.where(F.col("order") <= last).collect()
     rows.sort(key=lambda r: (r["order"], r["doc_id"], r["features"]))
     return train([(np.frombuffer(r["features"], np.uint32), int(r["toxic"] > 0)) for r in rows], bits)
 

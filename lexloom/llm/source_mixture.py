@@ -31,6 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def content() -> Column:
+    return F.xxhash64("text", "source")
+
+
 def quality_weight(text: Column) -> Column:
     """0.25 to 1: the share of a text's characters that are no symbols."""
     n = F.coalesce(F.length(text), F.lit(0))
@@ -65,8 +69,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, range_rows: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words that the mix takes of the document), copies, sampling_key."""
-    measured = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"))
+    """doc_id, source, size, source_size, target, taken (words that the mix takes of the document), copies, sampling_key, content (hash of text and source)."""
+    measured = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), content().alias("content"))
     keyed = measured.withColumn("sampling_key", -F.log(uniform(F.col("doc_id"))) / F.col("quality"))
     sizes = stored(keyed, "mixture-sizes")
     goals = targets(sizes, weights, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("long"))
@@ -103,4 +107,14 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, range
     filled = (F.col("sampling_key") <= F.col("f_key")) & (F.col("size") * 4 <= F.col("gap"))
     chosen = F.coalesce((F.col("slot") < F.col("l_slot")) | ((F.col("slot") == F.col("l_slot")) & ((F.col("sampling_key") <= F.col("c_key")) | F.coalesce(filled, F.lit(False)))), F.lit(False))
     copies = F.col("g_epochs") + (chosen & (F.col("g_rest") > 0)).cast("long")
-    return out.select("doc_id", "source", "size", F.col("g_source_size").alias("source_size"), F.col("g_target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"), "sampling_key")
+    return out.select("doc_id", "source", "size", F.col("g_source_size").alias("source_size"), F.col("g_target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"), "sampling_key", "content")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: each document, with all its columns, as many times as `mixture` takes it.
+
+    Rows are told apart by doc_id and content, so different texts that share an id, or have none, get their own copies.
+    """
+    taken = mixture(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("_lexloom_id"), F.col("content").alias("_lexloom_content"), F.col("copies").alias("_lexloom_copies")).distinct()
+    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_lexloom_id")) & (content() == F.col("_lexloom_content")))
+    return both.withColumn("_lexloom_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_lexloom_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -110,16 +112,54 @@ def test_media(docs, empty):
         payload = raw.ljust(max(1, math.ceil(len(raw) / 192)) * 192)
         r = got[doc_id]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-16:]))
-        assert r.codec == "raw8" and r.keyframes[0].end - r.keyframes[0].start == 192
+        media = iso_media.wrap(payload)
+        assert (r.payload_sha256, r.media_sha256, r.media_bytes) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(media).hexdigest(), len(media))
+        assert r.codec == "raw " and r.keyframes[0].end - r.keyframes[0].start == 192
     assert got[1].media_sha256 == got[2].media_sha256 and got[4].feature == got[5].feature
     data = iso_media.wrap(bytes(range(192)) * 40)
-    info = iso_media.inspect(data)
+    (info,) = iso_media.inspect(data)
     assert b"".join(data[a:b] for a, b in info["ranges"]) == bytes(range(192)) * 40 and info["duration"] == 40
     with pytest.raises(ValueError):
         list(iso_media.boxes(data[:100]))
     assert iso_media.media_features(empty).count() == 0
 
 
+def _track(number, handler, codec, scale, duration, sizes, chunks, per_chunk, keys, version):
+    """A hand-made track; times have 64 bits in version 1."""
+    box, full = iso_media._box, lambda kind, *parts, v=0, flags=0: iso_media._box(kind, struct.pack(">I", v << 24 | flags), *parts)
+    t = "Q" if version else "I"
+    head = full(b"tkhd", struct.pack(f">{t}{t}II{t}", 0, 0, number, 0, duration), bytes(60), v=version)
+    media = full(b"mdhd", struct.pack(f">{t}{t}I{t}HH", 0, 0, scale, duration, 0, 0), v=version)
+    entry = full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8)))
+    tables = [entry, full(b"stts", struct.pack(">III", 1, len(sizes), 5)), full(b"stsc", struct.pack(">IIII", 1, 1, per_chunk, 1)), full(b"stsz", struct.pack(f">II{len(sizes)}I", 0, len(sizes), *sizes)), full(b"stco", struct.pack(f">I{len(chunks)}I", len(chunks), *chunks))]
+    if keys is not None:
+        tables.append(full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys)))
+    return box(b"trak", head, box(b"mdia", media, full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", box(b"stbl", *tables))))
+
+
+def test_media_of_other_makers(spark):
+    """Audio before video, both versions of the headers, several chunks, and movie fragments."""
+    box, full = iso_media._box, lambda kind, *parts, flags=0: iso_media._box(kind, struct.pack(">I", flags), *parts)
+    audio = _track(1, b"soun", b"mp4a", 48_000, 96_000, [10, 11], [1000, 2000], 1, None, 0)
+    video = _track(2, b"vide", b"avc1", 90_000, 180_000, [7, 8, 9], [3000, 4000], 2, [1, 3], 1)
+    live = _track(3, b"vide", b"hvc1", 1000, 0, [], [], 1, None, 0)
+    extends = box(b"mvex", full(b"trex", struct.pack(">IIIII", 3, 1, 40, 100, 0x10000)))
+    data = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", audio, video, live, extends)
+    moof = len(data)
+    run = full(b"trun", struct.pack(">IiI", 3, 500, 0x2000000), flags=0x1 | 0x4)  # the first sample alone is a key frame
+    more = full(b"trun", struct.pack(">IIII", 1, 30, 77, 0), flags=0x100 | 0x200 | 0x400)
+    data += box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 3), flags=0x20000), run, more))
+    a, v, f = iso_media.inspect(data)
+    assert (a["codec"], a["handler"], a["duration"] / a["timescale"]) == ("mp4a", "soun", 2.0) and a["keyframes"] == [(1000, 1010), (2000, 2011)]
+    assert (v["codec"], v["timescale"], v["duration"]) == ("avc1", 90_000, 180_000) and v["ranges"] == [(3000, 3007), (3007, 3015), (4000, 4009)]
+    assert v["keyframes"] == [(3000, 3007), (4000, 4009)]
+    at = moof + 500
+    assert f["samples"] == 4 and f["duration"] == 150 and f["ranges"] == [(at, at + 100), (at + 100, at + 200), (at + 200, at + 300), (at + 300, at + 377)]
+    assert f["keyframes"] == [(at, at + 100), (at + 300, at + 377)]
+    got = iso_media.tracks(spark.createDataFrame([(1, bytearray(data)), (2, None)], "doc_id long, media binary")).collect()
+    assert [(r.doc_id, r.track, r.codec, r.duration_s, len(r.keyframes)) for r in got] == [(1, 1, "mp4a", 2.0, 2), (1, 2, "avc1", 2.0, 2), (1, 3, "hvc1", 0.15, 2)]
+
+
 def test_jaccard(docs, empty):
     got = {r.doc_id: r for r in ngram_jaccard.ngram_jaccard(docs).collect()}
     assert (got[1].class_id, got[2].class_id, got[3].class_id) == (1, 1, 1)
@@ -131,6 +171,21 @@ def test_jaccard(docs, empty):
     assert sorted(kept, key=lambda x: x or 0) == [None, 1, 4, 5, 6, 7, 8, 10, 11]
 
 
+def test_jaccard_of_rows_without_ids_and_with_repeated_ids(spark):
+    words = BASE.split()
+    near = [" ".join([*words, f"extra{i}"]) for i in range(3)]
+    rows = [(None, near[0], "a"), (None, near[1], "b"), (None, near[1], "c"), (7, "one text of the id seven that is long", "a"), (7, "another text of the id seven, also long", "b"), (7, "one text of the id seven that is long", "c"), (8, "something else with words of its own", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ngram_jaccard.ngram_jaccard(df).collect())
+    assert got == [(0, 0, 2)] * 3 + [(7, 7, 0), (7, 7, 1), (7, 7, 1), (8, 8, 0)]
+    kept = ngram_jaccard.one_of_each(df).collect()
+    assert ngram_jaccard.one_of_each(df).columns == df.columns
+    texts = Counter(r.text for r in kept)
+    assert texts[rows[3][1]] == texts[rows[4][1]] == texts[rows[6][1]] == 1 and texts[near[0]] + texts[near[1]] == 1 and len(kept) == 4
+    again = spark.createDataFrame([*rows, (3, near[2], "z")], df.schema)  # now the group has a member with an id
+    assert sorted((r.doc_id or 0) for r in ngram_jaccard.one_of_each(again).collect()) == [3, 7, 7, 8]
+
+
 def test_jaccard_in_blocks_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 7)
     draw = np.random.default_rng(3)
@@ -214,21 +269,66 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == known.columns and kept.where("toxic = 0").count() >= 0.97 * 300 and kept.where("toxic = 1").count() <= 10
 
 
+def test_ftrl_against_one_coordinate_at_a_time():
+    draw, bits = np.random.default_rng(6), 8
+    rows = [(np.unique(draw.integers(0, 256, 12)).astype(np.uint32), int(draw.random() < 0.5)) for _ in range(60)]
+    model = toxicity.train(rows, bits, passes=2, alpha=0.5, beta=1.0, l1=0.3, l2=0.05)
+    z, n = [0.0] * 257, [0.0] * 257
+    size = [1.0] * 128 + [toxicity.PAIR] * 128 + [1.0]
+
+    def weight(i):
+        l1 = 0.0 if i == 256 else 0.3
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.5 + 0.05)
+
+    for _ in range(2):
+        for x, y in rows:
+            at = [*x.tolist(), 256]
+            w = {i: weight(i) for i in at}
+            p = 1 / (1 + math.exp(-sum(w[i] * size[i] for i in at)))
+            for i in at:
+                g = (p - y) * size[i]
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    expected = [weight(i) * size[i] for i in range(257)]
+    assert np.allclose(model.dense(), expected[:256], atol=1e-9) and abs(model.bias - expected[256]) < 1e-9
+    assert 0 < len(model.index) < 256
+
+
 def test_nearest_against_brute_force(spark):
     draw = np.random.default_rng(1)
     x = np.vstack([draw.normal(size=(300, 8)), np.ones((60, 8)), draw.integers(0, 2, (40, 8))]).astype(np.float32)
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(500, None, 0), (501, [0.0] * 8, 0), (502, [float("nan")] + [1.0] * 7, 0), (503, [None] + [1.0] * 7, 0), (504, [1.0] * 3, 0), (505, [], 0), (7, x[7].tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = vptree_ann.nearest(df, df.where("vec_id % 20 = 0"), 10, 1.0, shard_rows=90, block_rows=8).collect()
-    x = x.astype(float)
-    ok = [i for i in range(400) if x[i].any()]
-    for q in range(0, 400, 20):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1)) if q in ok else None
-        expected = sorted((round(d[i], 9), i) for i in ok if i != q)[:10] if q in ok else []
-        assert [(round(r.score, 9), r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == expected
+    odd = [(502, [float("nan")] + [1.0] * 7), (503, [None] + [1.0] * 7), (500, None), (501, [0.0] * 8), (505, []), (None, [1.0] * 8)]
+    # Repeated ids are rows like others; three vectors of another length find each other.
+    more = [(7, x[7].tolist()), (7, x[8].tolist()), (440, [1.0] * 3), (460, [2.0] * 3), (461, [2.5] * 3)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + more + odd
+    df = spark.createDataFrame([(*r, 0, "c", 1) for r in rows], "vec_id long, embedding array<float>, score int, cell string, width int")
+    ok = [(i, np.array(v, float)) for i, v in rows[: -len(odd)] if np.any(v)]
+    expected = {}
+    for q, v in ok:
+        if q % 20 == 0:
+            expected[q] = sorted((round(float(np.sqrt(((w - v) ** 2).sum())), 9), i) for i, w in ok if i != q and len(w) == len(v))[:10]
+    for settings in ({"shard_rows": 90, "block_rows": 8}, {"shard_rows": 30, "block_rows": 3, "sample_rows": 100}, {}):
+        got = vptree_ann.nearest(df, df.where("vec_id % 20 = 0"), 10, 1.0, **settings).collect()
+        by = {q: [(round(r.score, 9), r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in expected}
+        assert by == expected and {r.query_id for r in got} == set(expected)
     assert vptree_ann.nearest(df.where("false"), df.where("false")).count() == 0
-    few = vptree_ann.nearest(df, df.where("vec_id = 20"), 10, 3.0).count()
-    assert few == 10
+    assert vptree_ann.nearest(df, df.where("false")).count() == 0
+
+
+def test_nearest_recall_of_a_larger_factor(spark):
+    draw = np.random.default_rng(2)
+    centres = draw.normal(size=(20, 16)) * 3
+    x = np.vstack([centres[i % 20] + draw.normal(size=16) for i in range(2000)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vptree_ann.nearest(df, df.where("vec_id % 20 = 0"), 10, 1.3, shard_rows=200).collect()
+    hits = 0
+    for q in range(0, 2000, 20):
+        near = np.argsort(np.where(np.arange(2000) == q, np.inf, ((x - x[q]) ** 2).sum(1)), kind="stable")[:10]
+        hits += len(set(near.tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits / 1000 >= 0.9
 
 
 def test_main_text(spark):
@@ -244,6 +344,40 @@ def test_main_text(spark):
     assert site_style_tree.main_text("<div>" * 3000 + "deep", {}) == "deep"
 
 
+def test_names_that_only_contain_a_listed_word_stay():
+    page = "<article><h1>T</h1><section id='legal-history'><p>Law of old</p></section><div class='form-of-government'><p>A republic</p></div><p>so <math><mi>x</mi></math> is</p><div class='cookie-notice-top'>we bake</div><noscript>switch it on</noscript><div class='ad-2'>buy</div></article>"
+    assert site_style_tree.main_text(page, {}) == "T Law of old A republic so x is"
+
+
+def test_main_text_without_any_names(spark):
+    """No class, no element that names its part: repeated branches go by their entropy alone."""
+    draw = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(draw.choice(list("abcdefghij"), 6)) for _ in range(n))
+    rows, own = [], []
+    for i in range(30):
+        own.append([text(20) for _ in range(3)])
+        head = "<div><div>Home</div><div>News</div><div>Contact us</div></div>"
+        foot = "<div><p>Imprint of the site</p><p>All rights reserved</p></div>"
+        rows.append((i, f"http://p.org/{i}", f"<html><body>{head}<div><h1>{own[-1][0]}</h1><p>{own[-1][1]}</p><p>{own[-1][2]}</p></div>{foot}</body></html>"))
+    got = {r.page_id: r.text for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(own[i]) for i in range(30))
+
+
+def test_importance_against_entropies(spark):
+    """Presentation: entropy of a node's sequences of children. Content: one less the mean entropy of its texts over pages."""
+    pages = ["<div><p>a</p></div>"] * 5 + ["<div><p>b</p><h2>same</h2></div>"] * 2 + ["<div><p>c</p><p>d</p><h2>same</h2></div>"]
+    rows = [(i, "http://h/", h) for i, h in enumerate(pages)]
+    tree = site_style_tree.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    nodes = {x.node: (x.presentation, x.content) for x in tree[0].nodes}
+    root = site_style_tree.parse(pages[0])
+    div = root.children[0]
+    m = len(pages)
+    entropy = lambda counts: -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+    assert abs(nodes[div.node][0] - entropy([5, 3]) / math.log(m)) < 1e-9
+    n_p, texts = 8, [5, 2, 1, 1]  # pages with such an element, and with each of its texts
+    assert abs(nodes[div.children[0].node][1] - (1 - sum(math.log(x) for x in texts) / 4 / math.log(n_p))) < 1e-9
+
+
 def test_main_text_judges_articles_by_the_style_tree(spark):
     own = lambda i: " ".join(f"{w}{i * 7 + k}" for k, w in enumerate(("alpha", "beta", "gamma", "delta", "eta", "theta", "iota", "kappa", "mu", "nu")))
     rows = [(i, f"http://n.org/{i}", f"<article><p>{own(i)}</p><p>Read our house rules first</p><p>more {own(i + 50)}</p><div class='x'><p>Sold by Example</p></div></article>") for i in range(20)]
@@ -259,72 +393,76 @@ def test_main_text_judges_articles_by_the_style_tree(spark):
 
 def test_masked_model(docs, empty):
     got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(docs).collect()}
-    assert got[4].n_tokens == 0 and got[5].log_likelihood == 0.0 and got[5].mean_log_likelihood is None
-    assert got[6].n_tokens == len(LONG) and got[6].mean_log_likelihood > got[11].mean_log_likelihood
+    assert len(got) == len({r[0] for r in ROWS}) and masked_lm.pseudo_likelihood(docs).count() == len(ROWS)
+    assert [got[i].n_tokens for i in (4, 5, 8)] == [0, 0, 0] and got[5].log_likelihood == 0.0 and got[5].mean_log_likelihood is None
+    assert got[6].n_tokens == len(LONG.split()) and got[6].mean_log_likelihood > got[11].mean_log_likelihood
     assert got[1].log_likelihood == got[2].log_likelihood < 0
     assert masked_lm.pseudo_likelihood(empty).count() == 0
 
 
-def test_masked_model_sums_its_conditionals():
-    texts = ["abcab", "", "b", "aab"]
-    alphabet = masked_lm.Alphabet(np.array([97, 98, 99]))
-    cells, sizes = masked_lm.windows(texts, alphabet.table(), alphabet.kinds)
-    expected = []
-    for t in texts:
-        s = [0, 0, *[{"a": 2, "b": 3, "c": 4}[c] for c in t], 0, 0]
-        for i in range(2, len(s) - 2):
-            k = alphabet.kinds
-            expected.append((((k[s[i - 2]] * 4 + k[s[i + 2]]) * 64 + s[i - 1]) * 64 + s[i + 1]) * 64 + s[i])
-    assert cells.tolist() == expected and sizes.tolist() == [5, 0, 1, 3]
-    net, losses = masked_lm.train(*np.unique(cells, return_counts=True), steps=40)
-    assert losses[-1] < losses[0]
-    assert np.allclose(np.exp(net.log_probabilities(np.array([0, 5]))).sum(axis=1), 1, atol=1e-5)
-
-
-def test_masked_windows_are_whole():
-    """Every character and all four neighbours count, also of characters outside of the network's alphabet."""
-    rare = "0123456789" + "".join(chr(0x400 + i) for i in range(64))
-    texts = [f"number {c} is {c}{c} " * (3 + i) for i, c in enumerate(rare)] + ["the tale of a cat " * 400, "", "a\0b"]
-    left, right, sizes = masked_lm.packed(texts)
-    parts = masked_lm.merged([(left, right, np.ones(len(left)))])
-    seen = Counter(w for t in texts for w in ((lambda x: [x[i : i + 5] for i in range(len(t))])([None, None, *t, None, None])) for w in [tuple(w)])
-    assert len(parts[0]) == len(seen) and sorted(parts[2].tolist()) == sorted(seen.values())
-    model = masked_lm.fitted(*parts, steps=20)
-    value, known = masked_lm.Windows(model.key, model.value).find(masked_lm.keys(left, right))
-    assert known.all() and (value < 0).all() and len(set(np.round(model.value, 6).tolist())) > 200
-    n4, n2 = Counter(), Counter()
-    for w, n in seen.items():
-        n4[w[:2] + w[3:]] += n
-        n2[w[1], w[3]] += n
-    characters = [(tuple(x[i : i + 5]), j) for j, t in enumerate(texts) for x in [[None, None, *t, None, None]] for i in range(len(t))]
-    b, n2c = masked_lm.BACK_OFF, Counter()
-    for w, n in seen.items():
-        n2c[w[1], w[2], w[3]] += n
-    cells, _ = masked_lm.windows(texts, model.alphabet.table(), model.alphabet.kinds)
-    for i in range(0, len(characters), 997):
-        w = characters[i][0]
-        p = math.exp(model.base[cells[i]] + model.other[ord(w[2])])
-        p = (n2c[w[1], w[2], w[3]] - 1 + b * p) / (n2[w[1], w[3]] - 1 + b)
-        p = (seen[w] - 1 + b * p) / (n4[w[:2] + w[3:]] - 1 + b)
-        assert abs(value[i] - math.log(p)) < 1e-4
-
-
-def test_masked_windows_grow_with_the_corpus(spark):
-    rng, sizes = np.random.default_rng(3), []
+def test_masked_model_sums_its_conditionals(spark):
+    """Scores against windows, classes, counts and spellings taken one by one in plain Python."""
+    draw = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("ba", "to", "mé", "日") for b in ("n", "r", "lu", "x9", "")]
+    texts = [" ".join(draw.choice(words, draw.integers(0, 30), p=np.arange(1, 21) / 210)) + "\nrare%d  end" % (i // 2) for i in range(40)] + ["", "  ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = masked_lm.learn(df, steps=15, most=12)
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(df, model).collect()}
+    split = [(t or "").split() for t in texts]
+    n = Counter(w for s in split for w in s)
+    known = {w for w, c in n.items() if sum(x >= c for x in n.values()) <= 12}
+    assert set(model.vocabulary.words) == known
+    class_of = {w: int(c) for w, c in zip(model.vocabulary.words, model.vocabulary.classes)}
+    mass = Counter(class_of.get(w, 1) for s in split for w in s)
+    pairs = Counter((a, b) for s in split for w in s if w not in known for x in [[0, *[min(ord(c), 384) if ord(c) < 384 else 1 for c in w], 0]] for a, b in zip(x, x[1:]))
+    row = Counter()
+    for (a, _), c in pairs.items():
+        row[a] += c
+    k, kinds = masked_lm.SYMBOLS, masked_lm.KINDS
+    for i, s in enumerate(split):
+        z = [0, 0, *[class_of.get(w, 1) for w in s], 0, 0]
+        total = 0.0
+        for j, w in enumerate(s):
+            l2, l1, c, r1, r2 = z[j : j + 5]
+            kind = masked_lm._KIND
+            total += model.cells[(((kind[l2] * kinds + kind[r2]) * k + l1) * k + r1) * k + c]
+            if w in known:
+                total += math.log(max(n[w] - 1, 0.5) / max(mass[c] - 1, 1))
+            else:
+                x = [0, *[ord(c) if ord(c) < 384 else 1 for c in w], 0]
+                p = math.exp(sum(math.log((pairs[a, b] + 1 / 384) / (row[a] + 1)) - (math.log(0x110000 - 384) if b == 1 else 0) for a, b in zip(x, x[1:])))
+                total += math.log((n[w] - 1 + p) / mass[1])
+        assert abs(got[i] - total) < 1e-3, i
+    # What stands twice in the corpus is likelier than what stands once.
+    assert len({w for w in n if w not in known}) > 10 and abs(np.exp(model.cells.reshape(-1, k)).sum(axis=1) - 1).max() < 1e-4
+
+
+def test_masked_model_tells_repeated_texts_apart(spark):
+    draw = np.random.default_rng(5)
+    word = lambda: "".join(draw.choice(list("abcdefghijklmnoprstu"), 9))
+    common = [word() for _ in range(50)]
+    texts = [" ".join(word() if draw.random() < 0.2 else common[draw.integers(0, 50)] for _ in range(60)) for _ in range(100)]
+    texts += texts[:20]
+    got = masked_lm.score(df := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), masked_lm.learn(df, most=50)).collect()
+    twice = [r.mean_log_likelihood for r in got if r.doc_id < 20 or r.doc_id >= 100]
+    assert min(twice) > max(r.mean_log_likelihood for r in got if 20 <= r.doc_id < 100)
+
+
+def test_masked_counts_grow_with_the_corpus(spark):
+    sizes = []
     for n in (20, 200):
-        texts = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 50)) for _ in range(n)]
-        got = masked_lm.window_counts(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas()
-        expected = {tuple(x[i : i + 5]) for t in texts for x in [[None, None, *t, None, None]] for i in range(len(t))}
-        assert len(got) == len(expected) and got.n.sum() == 50 * n
+        texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(n)]
+        got = masked_lm.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).toPandas()
+        assert got.n.sum() == 30 * n
         sizes.append(len(got))
-    assert sizes[1] > 9 * sizes[0]
+    assert sizes == [600, 6000]
 
 
 def test_masked_gradient_against_differences():
-    net = masked_lm.Network(4)
-    contexts, counts = np.array([70, 4200]), np.random.default_rng(0).random((2, 64)).astype(np.float32)
+    net, k = masked_lm.Network(4), masked_lm.SYMBOLS
+    contexts, counts = np.array([70, 4200]), np.random.default_rng(0).random((2, k)).astype(np.float32)
     _, grads = net.gradient(contexts, counts)
-    for name, at in (("out", (1, 2)), ("left", (4200 // 64 % 64, 0)), ("base", (5,)), ("bias", (2,))):
+    for name, at in (("out", (1, 2)), ("left", (4200 // k % k, 0)), ("base", (5,)), ("bias", (2,))):
         old, step, loss = net.p[name][at], 1e-2, []
         for sign in (1, -1):
             net.p[name][at] = old + sign * step

@@ -3,17 +3,21 @@ target weights, and the mix is packed into token sequences.
 
 Each stage takes (spark, docs, sf_dir), with docs the whole output of the stage before, and returns a DataFrame. The
 mix is carried out: a document stands as many times in that stage's output as the mix takes it.
+
+Defined cases: null and empty texts are not toxic, have no near duplicates and no words for the mix to take; rows
+without a doc_id, and different texts that share one, are judged each by its own text; empty tables give no rows. This
+module belongs to the training-data operators: without `lexloom.llm` it does not import, and `__spark_entry__` leaves
+its query out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexloom.llm.bin_packing import packed_sequences
 from lexloom.llm.common import stored, table
 from lexloom.llm.ngram_jaccard import one_of_each
-from lexloom.llm.source_mixture import mixture
+from lexloom.llm.source_mixture import mixed
 from lexloom.llm.toxicity import not_toxic
 
 
@@ -26,9 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixture(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("taken_id"), "copies").distinct()
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("source_mixture", source_mixture), ("packing", packing)]
 
-#: The toxicity stage learns a model, which SQL cannot express; the tests hold the stages against brute force instead.
+#: The toxicity stage learns a model, which SQL cannot express; `tests/llm/test_pipeline.py` holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -45,13 +45,12 @@ def without_stop_words(words: Column, stop: tuple[str, ...] = STOP_WORDS) -> Col
 
 
 def ngrams(words: Column, n: int = 3) -> Column:
-    """All 1-grams, then 2-grams, up to n-grams, each joined by blanks."""
-
-    def level(k: int) -> Column:
-        starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - F.lit(k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
-
-    return F.flatten(F.array(*[level(k) for k in range(1, n + 1)]))
+    """All 1-grams, then 2-grams, up to n-grams, each joined by blanks. Each level adds a word to the level before it."""
+    levels = [words]
+    for k in range(2, n + 1):
+        many = F.greatest(F.size(words) - F.lit(k - 1), F.lit(0))
+        levels.append(F.zip_with(F.slice(levels[-1], F.lit(1), many), F.slice(words, F.lit(k), many), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.flatten(F.array(*levels)) if n > 1 else words
 
 
 @F.pandas_udf(StringType())
@@ -63,11 +62,21 @@ def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(stem, na_action="ignore")
 
 
-def grams(docs: DataFrame, key: str, text: str, n: int = 3, stemmed: bool = True, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """key, gram, tf of every document: stop words out, stems, n-grams. Stems are made of distinct tokens only."""
-    words = docs.select(F.col(key), without_stop_words(tokens(F.col(text)), stop).alias("words"))
+def gram_arrays(docs: DataFrame, key: str, text: str, n: int = 3, stemmed: bool = True, stop: tuple[str, ...] = STOP_WORDS, name: str = "grams") -> DataFrame:
+    """docs with an array of their grams: stop words out, stems, n-grams.
+
+    Stems are made of distinct tokens only, which are joined back; without stems nothing is shuffled.
+    """
+    words = docs.withColumn(name, without_stop_words(tokens(F.col(text)), stop))
     if stemmed:
-        flat = words.select(key, F.posexplode("words").alias("pos", "word"))
+        flat = words.select(F.col(key).alias("_key"), F.posexplode(name).alias("pos", "word"))
         known = flat.select("word").distinct().select("word", stems("word").alias("stem"))
-        words = flat.join(known, "word").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("words"))
-    return words.select(key, F.explode(ngrams(F.col("words"), n)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+        by = flat.join(known, "word").groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("_stems"))
+        words = words.join(by, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_stems", F.array().cast("array<string>"))).drop("_key", "_stems")
+    return words.withColumn(name, ngrams(F.col(name), n))
+
+
+def grams(docs: DataFrame, key: str, text: str, n: int = 3, stemmed: bool = True, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """key, gram, tf of every document."""
+    arrays = gram_arrays(docs.select(key, text), key, text, n, stemmed, stop)
+    return arrays.select(key, F.explode("grams").alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))

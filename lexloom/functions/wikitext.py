@@ -136,19 +136,25 @@ def without_prefixed_lines(c: Column, prefixes: tuple[str, ...] = ("[[Category:"
     return F.filter(F.split(c, "\n"), keep)
 
 
-def _repeatedly(c: Column, pattern: str, times: int) -> Column:
-    for _ in range(times):
+def _unnested(c: Column, pattern: str, opening: str, usual: int = 2) -> Column:
+    """Innermost matches replaced by blanks until none is left.
+
+    A text that still has one after the usual depth is gone over once more for each opening mark it has left, which no
+    nesting exceeds.
+    """
+    for _ in range(usual):
         c = F.regexp_replace(c, pattern, " ")
-    return c
+    left = F.when(F.rlike(c, F.lit(pattern)), F.sequence(F.lit(1), F.size(F.split(c, opening)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(left, c, lambda text, _: F.regexp_replace(text, pattern, " "))
 
 
-def remove_markup(c: Column, depth: int = 4) -> Column:
-    """Text without comments, notes, tables, templates (nested up to `depth`), media links, tags and link brackets."""
+def remove_markup(c: Column) -> Column:
+    """Text without comments, notes, tables and templates (however nested), media links, tags and link brackets."""
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?s)<ref([> ].*?)(</ref>|/>)", "")
     c = F.regexp_replace(c, r"(?s)<math([> ].*?)(</math>|/>)", " ")
-    c = _repeatedly(c, r"(?s)\{\{[^{}]*\}\}", depth)
-    c = _repeatedly(c, r"(?s)\{\|[^{}]*\|\}", depth)
+    c = _unnested(c, r"(?s)\{\{[^{}]*\}\}", r"\{\{")
+    c = _unnested(c, r"(?s)\{\|[^{}]*\|\}", r"\{\|")
     c = F.regexp_replace(c, r"\[\[(?:[iI]mage|[fF]ile):[^\[\]]*\]\]", "")
     c = without_categories(c)
     c = F.regexp_replace(c, r"\[\w+://[^ \]]*( [^\]]*)?\]", "$1")
@@ -159,7 +165,7 @@ def remove_markup(c: Column, depth: int = 4) -> Column:
 
 def strip_code(c: Column) -> Column:
     """Text without quote marks of bold and italics, link targets, tags and templates; entities as characters."""
-    c = _repeatedly(c, r"(?s)\{\{[^{}]*\}\}", 2)
+    c = _unnested(c, r"(?s)\{\{[^{}]*\}\}", r"\{\{")
     c = F.regexp_replace(c, r"'{2,5}", "")
     c = F.regexp_replace(c, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1")
     c = F.regexp_replace(c, r"\[\[([^\[\]]*)\]\]", "$1")
@@ -185,7 +191,7 @@ def dissected(title: Column, raw_xml: Column, text: Column, timestamp: Column) -
 
 def link_title(url: Column) -> Column:
     """Title of an internal link: `/wiki/A_b` gives `A b`; other urls give null."""
-    return F.when(F.startswith(url, F.lit("/wiki/")), F.translate(F.substring(url, 7, 1_000_000), "_", " "))
+    return F.when(F.startswith(url, F.lit("/wiki/")), F.translate(F.substr(url, F.lit(7)), "_", " "))
 
 
 def unquoted(url: Column) -> Column:

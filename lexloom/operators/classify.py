@@ -9,9 +9,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .evaluate import best_parameter, log_loss
 
-#: Inverse regularisation strengths of the grid.
+#: Inverse regularisation strengths of the grid.
 GRID = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 4.0, 6.0, 8.0)
 
 
@@ -56,7 +57,7 @@ def grid(train: DataFrame, test: DataFrame, cs: Sequence[float] = GRID, selectio
     spark = train.sparkSession
     loss = lambda a, b, c: log_loss(scores(logistic_regression(a, c), b).withColumn("actual", F.col("label"))).head()[0]
     rows = []
-    split = k_folds(train, "label", key, folds).persist() if selection == "cv" else None
+    split = stored(k_folds(train, "label", key, folds), "folds") if selection == "cv" else None
     for c in cs:
         if split is None:
             rows.append((float(c), loss(train, test, c)))

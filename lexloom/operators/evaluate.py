@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 EPSILON = 1e-15
 
 
@@ -60,14 +62,14 @@ def bucket_report(scored: DataFrame, threshold: float, bucket: str) -> DataFrame
     return with_buckets(scored, threshold).where(F.col("bucket") == bucket).select("title", "predicted", "actual", "threshold_pred")
 
 
-def roc_points(scored: DataFrame) -> DataFrame:
-    """threshold, tp, fp, tpr, fpr at each distinct score, and the point (0, 0).
+def _ranked(scored: DataFrame) -> DataFrame:
+    """threshold, tp, fp, tpr, fpr, pos (positives of that score), n at each distinct score.
 
     Rows are summed by score first; scores are cut into ranges whose sums are added up in order, so that no task runs
     over all scores.
     """
     by = scored.groupBy("predicted").agg(F.sum("actual").alias("pos"), F.count(F.lit(1)).alias("n"))
-    ranged = by.repartitionByRange(F.desc("predicted")).withColumn("r", F.spark_partition_id())
+    ranged = stored(by.repartitionByRange(F.desc("predicted")).withColumn("r", F.spark_partition_id()), "roc-ranges")
     sums = ranged.groupBy("r").agg(F.sum("pos").alias("r_pos"), F.sum("n").alias("r_n"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -76,18 +78,22 @@ def roc_points(scored: DataFrame) -> DataFrame:
     run = ranged.withColumn("tp", F.sum("pos").over(own)).withColumn("k", F.sum("n").over(own)).join(F.broadcast(ranges), "r")
     tp = F.col("tp") + F.col("b_r_pos")
     fp = F.col("k") + F.col("b_r_n") - tp
-    points = run.select(F.col("predicted").alias("threshold"), tp.cast("double").alias("tp"), fp.cast("double").alias("fp"), (tp / F.col("all_r_pos")).alias("tpr"), (fp / (F.col("all_r_n") - F.col("all_r_pos"))).alias("fpr"))
+    return run.select(F.col("predicted").alias("threshold"), tp.cast("double").alias("tp"), fp.cast("double").alias("fp"), (tp / F.col("all_r_pos")).alias("tpr"), (fp / (F.col("all_r_n") - F.col("all_r_pos"))).alias("fpr"), F.col("pos").cast("double").alias("pos"), "n")
+
+
+def roc_points(scored: DataFrame) -> DataFrame:
+    """threshold, tp, fp, tpr, fpr at each distinct score, and the point (0, 0)."""
+    points = _ranked(scored).drop("pos", "n")
     first = scored.sparkSession.createDataFrame([(None, 0.0, 0.0, 0.0, 0.0)], points.schema)
     return points.unionByName(first)
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
     """auc by the trapezoid rule, from rank sums: pairs of a positive over a negative, ties by half."""
-    points = roc_points(scored).where(F.col("threshold").isNotNull())
-    sums = scored.groupBy("predicted").agg(F.sum("actual").cast("double").alias("pos"), (F.count(F.lit(1)) - F.sum("actual")).cast("double").alias("neg"))
-    both = sums.join(points, F.col("predicted") == F.col("threshold"))
-    won = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return both.agg((won / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    points = _ranked(scored).where(F.col("threshold").isNotNull())
+    neg = F.col("n") - F.col("pos")
+    won = F.sum(neg * (F.col("tp") - F.col("pos") / 2))
+    return points.agg((won / (F.sum("pos") * F.sum(neg))).alias("auc"))
 
 
 def roc_grid(scored: DataFrame, n: int = 100) -> DataFrame:
@@ -97,7 +103,7 @@ def roc_grid(scored: DataFrame, n: int = 100) -> DataFrame:
     counts at it.
     """
     points = roc_points(scored).groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
-    ranged = points.repartitionByRange(F.col("fpr")).withColumn("r", F.spark_partition_id())
+    ranged = stored(points.repartitionByRange(F.col("fpr")).withColumn("r", F.spark_partition_id()), "roc-grid-ranges")
     # The next point of a range's last row is the first of the next range that has rows.
     firsts = ranged.groupBy("r").agg(F.min(F.struct("fpr", "low")).alias("first"))
     nexts = firsts.select("r", F.lead("first").over(Window.orderBy("r")).alias("next_first"))
@@ -116,6 +122,12 @@ def best_parameter(scores: DataFrame, parameter: str = "c", score: str = "score"
     return scores.agg(F.min(F.struct(score, parameter)).alias("x")).select(F.col(f"x.{parameter}").alias(parameter), F.col(f"x.{score}").alias(score))
 
 
+def bucket_ends(scored: DataFrame, threshold: float, bucket: str, n: int = 20, last: bool = False) -> DataFrame:
+    """The n rows of a bucket with the least scores, or with the largest (ties by title, in either case)."""
+    rows = bucket_report(scored, threshold, bucket)
+    return rows.orderBy(F.desc("predicted") if last else "predicted", F.desc("title") if last else "title").limit(n)
+
+
 def importance_slices(ranked: DataFrame, value: str = "coef", key: str = "term", ends: int = 5, middle: int = 10) -> DataFrame:
     """part (bottom, middle, top), rank and the rows of least, middle and largest value. Few rows: a vocabulary at most."""
     place = F.row_number().over(Window.orderBy(value, key)) - 1

@@ -5,18 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """`df` in the shared checkpoint folder, with its lineage cut."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+from ..sources.shared import stored
 
 
 def category_edges(pages: DataFrame, title: str, cats: str) -> DataFrame:
@@ -40,7 +29,7 @@ def levels(edges: DataFrame, root: str, depth: int) -> DataFrame:
     seen = frontier
     for level in range(1, depth + 1):
         step = frontier.join(edges, F.col("url") == F.col("parent")).select(F.col("child").alias("url")).distinct()
-        frontier = _checkpointed(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = stored(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)), "bfs-level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -74,13 +63,36 @@ def limit_depth(tree: DataFrame, depth: int) -> DataFrame:
     return tree.where(F.col("depth") < depth)
 
 
+def core(edges: DataFrame, rounds: int) -> DataFrame:
+    """parent, child: the links that may be part of a cycle of at most `rounds` links.
+
+    A link whose child has no link, or to whose parent no link leads, is in no cycle; such links are taken away until
+    none is left, or as often as a walk of that many links can notice.
+    """
+    left = stored(edges.select("parent", "child").distinct(), "core")
+    n = left.count()
+    for _ in range(rounds):
+        starts, ends = left.select(F.col("parent").alias("node")).distinct(), left.select(F.col("child").alias("node")).distinct()
+        both = starts.intersect(ends)
+        trimmed = left.join(both.withColumnRenamed("node", "child"), "child", "left_semi").join(both.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        left = stored(trimmed.select("parent", "child"), "core")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
 def in_cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """node: nodes that reach themselves within `depth` links. Reached pairs grow with nodes, so use it on small trees."""
-    reach = edges.select(F.col("parent").alias("a"), F.col("child").alias("b")).distinct()
-    front = reach
+    """node: nodes that reach themselves within `depth` links.
+
+    Walks start only from nodes of the `core`. A pair (start, reached node) is kept once, at its least distance.
+    """
+    links = core(edges, depth)
+    reach = front = links.select(F.col("parent").alias("a"), F.col("child").alias("b"))
     for _ in range(depth - 1):
-        step = front.join(edges, F.col("b") == F.col("parent")).select("a", F.col("child").alias("b")).distinct()
-        front = _checkpointed(step.join(reach, ["a", "b"], "left_anti"))
+        # A walk that is back at its start has been found and goes no further.
+        step = front.where(F.col("a") != F.col("b")).join(links, F.col("b") == F.col("parent")).select("a", F.col("child").alias("b")).distinct()
+        front = stored(step.join(reach, ["a", "b"], "left_anti"), "cycle-step")
         if front.isEmpty():
             break
         reach = reach.unionByName(front)

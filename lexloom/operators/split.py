@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def is_target(column: Column, target: str) -> Column:
     """1 for the target, else 0, also for null."""
@@ -15,30 +17,43 @@ def _order(key: str, seed: int | None) -> list[Column]:
     return [F.col(key)] if seed is None else [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
 
 
+def _placed(rows: DataFrame, by: list[Column], order: list[Column]) -> DataFrame:
+    """rows with `_place` (from 0, within `by`) and `_all` (rows of the same `by`).
+
+    Rows are dealt into ranges of (by, order) and stored with their range; the ranges' counts are summed in order, and
+    rows are numbered inside their ranges. So no task gets all rows, nor all of a frequent label.
+    """
+    ranged = stored(rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    names = [f"_by{i}" for i in range(len(by))]
+    marked = ranged.select("*", *[c.alias(n) for n, c in zip(names, by, strict=True)])
+    sizes = marked.groupBy("_range", *names).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range and label in it
+    upto = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", *names, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*names)).alias("_all"))
+    same = F.col("_range") == F.col("_r")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_r"))
+    right = before.select(F.col("_range").alias("_r"), *[F.col(n).alias(f"{n}_r") for n in names], "_before", "_all")
+    inside = F.row_number().over(Window.partitionBy("_range", *names).orderBy(*order)) - 1
+    placed = marked.withColumn("_inside", inside).join(F.broadcast(right), same)
+    return placed.withColumn("_place", F.col("_before") + F.col("_inside")).select(*[F.col(f"`{c}`") for c in rows.columns], "_place", "_all")
+
+
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.8, seed: int | None = None) -> DataFrame:
     """rows with `part`: of each label the first floor(n x share) rows, by key or seeded hash, are 'train', the rest 'test'."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(*_order(key, seed)))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    return rows.withColumn("part", F.when(place <= F.floor(n * F.lit(share)), "train").otherwise("test"))
+    placed = _placed(rows, [F.col(label)], _order(key, seed))
+    return placed.withColumn("part", F.when(F.col("_place") < F.floor(F.col("_all") * F.lit(share)), "train").otherwise("test")).drop("_place", "_all")
 
 
 def k_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: int | None = None) -> DataFrame:
     """rows with `fold`: each row is in the test set of one fold; the last fold takes the remainder."""
     if k < 2:
         raise ValueError("k_folds needs at least 2 folds")
-    place = F.row_number().over(Window.partitionBy(label).orderBy(*_order(key, seed))) - 1
-    size = F.greatest(F.floor(F.count(F.lit(1)).over(Window.partitionBy(label)) / k), F.lit(1))
-    return rows.withColumn("fold", F.least(F.floor(place / size), F.lit(k - 1)).cast("int"))
-
+    placed = _placed(rows, [F.col(label)], _order(key, seed))
+    size = F.greatest(F.floor(F.col("_all") / k), F.lit(1))
+    return placed.withColumn("fold", F.least(F.floor(F.col("_place") / size), F.lit(k - 1)).cast("int")).drop("_place", "_all")
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with `idx` from 0 in order of the key.
 
-    Counts of key ranges are summed in order, and rows are numbered inside their ranges, so no task gets all rows.
-    """
-    ranged = rows.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
-    own = Window.partitionBy("_range").orderBy(key)
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.withColumn("_place", F.row_number().over(own)).join(F.broadcast(before.drop("_n")), "_range")
-    return placed.withColumn("idx", F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_before")
+def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `idx` from 0 in the given order."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    return _placed(rows, [], columns).withColumnRenamed("_place", "idx").drop("_all")

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import grams
+from ..functions.analyzer import gram_arrays
 from ..operators import classify, evaluate, split, vectorize
+from ..sources.shared import stored
 
-TARGETS = ("mathematics", "physics", "computer_science", "biology", "chemistry", "medicine", "law", "philosophy", "art")
+#: The categories that can be typed.
+TARGETS = ("aeronautics", "arts", "biology", "chemistry", "computer_science", "engineering", "mathematics", "philosophy", "physics")
 
 
 def target_name(text: str, known: Sequence[str] = TARGETS) -> str:
@@ -45,9 +47,8 @@ class Classifier:
     text: str = "text"
 
     def features(self, docs: DataFrame) -> DataFrame:
-        tf = grams(docs, self.key, self.text, self.n_grams)
-        weights = vectorize.tfidf(tf, self.vocab, self.key)
-        return vectorize.vectors(weights, docs, self.key, self.size)
+        arrays = gram_arrays(docs, self.key, self.text, self.n_grams, name="_grams")
+        return vectorize.vectors(arrays, self.vocab, "_grams", self.size).drop("_grams")
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """docs with predicted; a document without a known term scores 0."""
@@ -60,13 +61,32 @@ class Classifier:
         return rows.where((F.col("predicted") == 0.0) | evaluate.over(threshold, inclusive=True)).select(title, F.col("predicted").alias("prediction"))
 
 
+    def save(self, path: str) -> None:
+        """Vocabulary, model and settings below a path, which must be new."""
+        spark = self.vocab.sparkSession
+        self.vocab.write.parquet(f"{path}/vocabulary")
+        self.model.write().save(f"{path}/model")
+        settings = [(self.target, self.size, self.n_grams, self.key, self.text)]
+        spark.createDataFrame(settings, _SETTINGS).coalesce(1).write.json(f"{path}/settings")
+
+
+_SETTINGS = "target string, size int, n_grams int, key string, text string"
+
+
+def load(spark: SparkSession, path: str) -> Classifier:
+    """A classifier that was saved. Without one there, this raises."""
+    s = spark.read.schema(_SETTINGS).json(f"{path}/settings").head()
+    vocab = spark.read.parquet(f"{path}/vocabulary")
+    return Classifier(s["target"], vocab, LogisticRegressionModel.load(f"{path}/model"), s["size"], s["n_grams"], s["key"], s["text"])
+
+
 def fit(docs: DataFrame, target: str, c: float, size: int = vectorize.KEEP, n_grams: int = 3, label: str = "target", key: str = "doc_id", text: str = "text", no_below: int = vectorize.NO_BELOW) -> Classifier:
     """A classifier whose vocabulary and document frequencies come from the target's own documents."""
     labelled = docs.withColumn("label", split.is_target(F.col(label), target).cast("double"))
     own = labelled.where(F.col("label") == 1)
-    vocab = vectorize.vocabulary(grams(own, key, text, n_grams), own.count(), no_below, keep=size).persist()
+    vocab = stored(vectorize.vocabulary(vectorize.array_frequencies(gram_arrays(own.select(key, text), key, text, n_grams), "grams"), own.count(), no_below, keep=size), "vocabulary")
     model = Classifier(target, vocab, None, size, n_grams, key, text)
-    model.model = classify.logistic_regression(model.features(labelled), c)
+    model.model = classify.logistic_regression(stored(model.features(labelled).select("label", "features"), "features"), c)
     return model
 
 
@@ -90,8 +110,9 @@ def train(docs: DataFrame, target: str, cs: Sequence[float] = classify.GRID, siz
     """Splits 80:20 by label, fits the grid, evaluates the best parameter, and fits it to all documents."""
     rows = split.stratified_split(docs.withColumn("label", split.is_target(F.col(label), target).cast("double")), "label", key)
     own = rows.where((F.col("part") == "train") & (F.col("label") == 1))
-    vocab = vectorize.vocabulary(grams(own, key, text, n_grams), own.count(), no_below, keep=size).persist()
-    found = Classifier(target, vocab, None, size, n_grams, key, text).features(rows).persist()
+    vocab = stored(vectorize.vocabulary(vectorize.array_frequencies(gram_arrays(own.select(key, text), key, text, n_grams), "grams"), own.count(), no_below, keep=size), "vocabulary")
+    features = Classifier(target, vocab, None, size, n_grams, key, text).features(rows)
+    found = stored(features.select(*dict.fromkeys((key, title)), "label", "part", "features"), "features")
     training, test = found.where(F.col("part") == "train"), found.where(F.col("part") == "test")
     best, table = classify.grid(training, test, cs, selection, key=key)
     scored = classify.scores(classify.logistic_regression(training, best), test)

@@ -1,7 +1,7 @@
 """Registered queries of the engine's operators over the supplied tables, with DuckDB SQL for the same rows.
 
-The tables hold no wiki markup, so both sides build the same markup from columns; `lang` stands for a target, and
-scores are a fixed function of the id.
+The tables hold no wiki markup, so both sides make the same markup of each document's whole text and columns; `lang`
+stands for a target, and scores are a fixed function of the id.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import analyzer, wikitext
 from ..operators import classify, evaluate, graph, split, vectorize
 from ..sources import dump, sinks
+from ..sources.shared import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,17 +45,34 @@ def _joined(c: Column) -> Column:
     return F.array_join(c, "¦")
 
 
-# Markup built from columns, in both dialects.
+#: Markup made of a text: pairs of words around a comma are links, first words of sentences categories, of lines headers.
+_MARKS = ((r"([a-z]+), ([a-z]+)", "[[#1|#2]]"), (r"[.] ([A-Z][a-z]+)", ". [[Category:#1]]"), (r"\n([A-Z][a-z]*) ", "\n== #1 ==\n"))
+
+
+def _marked(text: Column) -> Column:
+    for pattern, new in _MARKS:
+        text = F.regexp_replace(text, pattern, new.replace("#", "$"))
+    return text
+
+
+def _marked_sql(text: str) -> str:
+    for pattern, new in _MARKS:
+        new = new.replace("#", "\\").replace("\n", "' || chr(10) || '")
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+# Markup of a text, behind one of each kind that is built from columns, in both dialects.
 def _markup() -> Column:
     s, g, i = F.col("source"), F.col("lang"), F.col("doc_id").cast("string")
     return F.concat(
         F.lit("x [[Category:"), s, F.lit("|"), g, F.lit("]] [[category:"), g, F.lit("]] [["), s, F.lit("|label "), i, F.lit("]] [[File:"), g, F.lit(".png|thumb]] [[World: x]] [[A (disambiguation)#"), g,
-        F.lit("]] [[R&amp;D, "), g, F.lit("]] <math>a_"), i, F.lit("</math> [a|b"), i, F.lit("]\n== History of "), g, F.lit(" ==\n="), s, F.lit("=\nplain\n ==no==\n[[Category:tail]]\nthumb line"),
+        F.lit("]] [[R&amp;D, "), g, F.lit("]] <math>a_"), i, F.lit("</math> [a|b"), i, F.lit("]\n== History of "), g, F.lit(" ==\n="), s, F.lit("=\nplain\n ==no==\n[[Category:tail]]\nthumb line\n"), _marked(F.coalesce("text", F.lit(""))),
     )
 
 
 _MARKUP = """'x [[Category:' || source || '|' || lang || ']] [[category:' || lang || ']] [[' || source || '|label ' || doc_id || ']] [[File:' || lang || '.png|thumb]] [[World: x]] [[A (disambiguation)#' || lang ||
- ']] [[R&amp;D, ' || lang || ']] <math>a_' || doc_id || '</math> [a|b' || doc_id || ']' || chr(10) || '== History of ' || lang || ' ==' || chr(10) || '=' || source || '=' || chr(10) || 'plain' || chr(10) || ' ==no==' || chr(10) || '[[Category:tail]]' || chr(10) || 'thumb line'"""
+ ']] [[R&amp;D, ' || lang || ']] <math>a_' || doc_id || '</math> [a|b' || doc_id || ']' || chr(10) || '== History of ' || lang || ' ==' || chr(10) || '=' || source || '=' || chr(10) || 'plain' || chr(10) || ' ==no==' || chr(10) || '[[Category:tail]]' || chr(10) || 'thumb line' || chr(10) || """ + _marked_sql("coalesce(text, '')")
 _W = f"WITH wiki AS (SELECT doc_id, lang, source, {_MARKUP} AS m FROM documents)"
 _LINKS = r"regexp_extract_all(m, '\[\[(.*?)\]\]', 1)"
 _CATS = r"regexp_extract_all(m, '\[\[([cC]ategory:[^\]\[]*)\]\]', 1)"
@@ -73,6 +91,37 @@ def scan_filter_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where(wikitext.is_article(ns, text)).select(F.col("doc_id").alias("page_id"), "lang")
 
 
+# Dumps: pages with the documents' markup as their text are written as compressed XML, and read back.
+def _escaped(c: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def _dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.concat(
+        F.lit("  <page>\n    <title>Page "), F.col("doc_id"), F.lit("</title>\n    <ns>"), F.when(F.col("lang") == "es", "14").otherwise("0"), F.lit("</ns>\n    <id>"), F.col("doc_id"),
+        F.lit("</id>\n    <revision>\n      <id>1</id>\n      <timestamp>2018-07-20T00:00:00Z</timestamp>\n      <text xml:space=\"preserve\">"), _escaped(F.concat(F.when(F.col("source") == "src3", "#REDIRECT ").otherwise(""), "m")), F.lit("</text>\n    </revision>\n  </page>"),
+    )
+    folder = shared_folder(spark, "dump")
+    _wiki(spark, sf_dir).select(page).write.option("compression", "gzip").text(folder)
+    return dump.read_pages(spark, folder)
+
+
+# Blanks at the beginning of lines go as a dump's lines are read.
+_READ = r"regexp_replace(CASE WHEN source = 'src3' THEN '#REDIRECT ' ELSE '' END || m, '(?m)^[ \t\x0B\f\r]+', '', 'g')"
+
+
+@query(f"{_W} SELECT 'Page ' || doc_id AS title, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, lang, {_READ} AS text FROM wiki) WHERE (lang = 'es') IS NOT TRUE AND NOT contains(text, '#REDIRECT')")
+def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dump.articles(_dump_pages(spark, sf_dir)).select("title", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"{_W} SELECT 'Page ' || doc_id AS title, array_to_string({_CATS}, '¦') AS found FROM wiki")
+def dump_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dump.edge_pages(_dump_pages(spark, sf_dir)).select("title", _joined(F.col("categories")).alias("found"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
 def semi_join_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = _table(spark, sf_dir, "benchmark").select("item_id")
@@ -246,23 +295,28 @@ def _level(k: int) -> str:
     return f"list_transform(range(1, greatest(len(w) - {k - 1}, 0) + 1), lambda i: array_to_string(w[i : i + {k - 1}], ' '))"
 
 
-_G = f"{_S}, tf AS (SELECT doc_id, lang, gram, count(*) AS tf FROM (SELECT doc_id, lang, unnest(list_concat({_level(1)}, {_level(2)})) AS gram FROM s) GROUP BY ALL)"
-_V = f"{_G}, df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram), n AS (SELECT count(*) AS n FROM documents), band AS (SELECT gram, df, n FROM df, n WHERE df >= 5 AND df <= 0.5 * n), vocab AS (SELECT gram, df, log2(n * 1.0 / df) AS idf, row_number() OVER (ORDER BY df DESC, gram) - 1 AS term_id FROM band ORDER BY df DESC, gram LIMIT 2000)"
+_G = f"{_S}, tf AS (SELECT doc_id, lang, gram, count(*) AS tf FROM (SELECT doc_id, lang, unnest(list_concat({_level(1)}, list_concat({_level(2)}, {_level(3)}))) AS gram FROM s) GROUP BY ALL)"
+_V = f"{_G}, df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram), n AS (SELECT count(*) AS n FROM documents), band AS (SELECT gram, df, n FROM df, n WHERE df >= 5 AND df <= 0.5 * n), vocab AS (SELECT gram, df, log2(n * 1.0 / df) AS idf, row_number() OVER (ORDER BY df DESC, gram) - 1 AS term_id FROM band ORDER BY df DESC, gram LIMIT {vectorize.KEEP})"
 _X = f"{_V}, raw AS (SELECT doc_id, lang, gram, term_id, tf, tf * idf AS r FROM tf JOIN vocab USING (gram)), x AS (SELECT doc_id, lang, gram, term_id, tf, r / sqrt(sum(r * r) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
-SIZE = 2000
 
 
-def _tf(spark: SparkSession, sf_dir: str, n: int = 2) -> DataFrame:
-    return analyzer.grams(_docs(spark, sf_dir), "doc_id", "text", n, stemmed=False)
+def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzer.grams(_docs(spark, sf_dir), "doc_id", "text", stemmed=False)
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyzer.gram_arrays(_docs(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id", "text", stemmed=False).drop("text")
 
 
-def _vocab(spark: SparkSession, sf_dir: str, tf: DataFrame) -> DataFrame:
-    return vectorize.vocabulary(tf, _docs(spark, sf_dir).count(), keep=SIZE)
+def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorize.vocabulary(vectorize.array_frequencies(_arrays(spark, sf_dir), "grams"), _docs(spark, sf_dir).count())
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _tf(spark, sf_dir)
-    return vectorize.tfidf(tf, _vocab(spark, sf_dir, tf), "doc_id")
+def _weights(spark: SparkSession, sf_dir: str, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary, and its weights in long form."""
+    vocab = stored(_vocab(spark, sf_dir), "vocabulary")
+    rows = vectorize.vectors(_arrays(spark, sf_dir), vocab, "grams", vectorize.KEEP)
+    return vocab, vectorize.weights_of(rows, vocab, *keys)
 
 
 @query(f"{_T} SELECT doc_id, len(a) AS n, array_to_string(a, ' ') AS found FROM t")
@@ -296,28 +350,27 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_V} SELECT gram, df FROM band")
 def vocab_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.vocabulary(_tf(spark, sf_dir), _docs(spark, sf_dir).count(), keep=None).select("gram", "df")
+    return vectorize.vocabulary(vectorize.document_frequencies(_tf(spark, sf_dir)), _docs(spark, sf_dir).count(), keep=None).select("gram", "df")
 
 
 @query(f"{_V} SELECT gram, df, CAST(term_id AS INT) AS term_id FROM vocab")
 def vocab_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocab(spark, sf_dir, _tf(spark, sf_dir)).select("gram", "df", "term_id")
+    return _vocab(spark, sf_dir).select("gram", "df", "term_id")
 
 
 @query(f"{_V} SELECT gram, round(idf, 6) AS idf FROM vocab")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocab(spark, sf_dir, _tf(spark, sf_dir)).select("gram", F.round("idf", 6).alias("idf"))
+    return _vocab(spark, sf_dir).select("gram", F.round("idf", 6).alias("idf"))
 
 
 @query(f"{_V} SELECT doc_id, CAST(term_id AS INT) AS term_id, tf FROM tf JOIN vocab USING (gram)")
 def doc2bow_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _tf(spark, sf_dir)
-    return vectorize.bag_of_words(tf, _vocab(spark, sf_dir, tf)).select("doc_id", "term_id", "tf")
+    return vectorize.bag_of_words(_tf(spark, sf_dir), _vocab(spark, sf_dir)).select("doc_id", "term_id", "tf")
 
 
 @query(f"{_X} SELECT doc_id, gram, round(weight, 6) AS weight FROM x")
 def tfidf_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir).select("doc_id", "gram", F.round("weight", 6).alias("weight"))
+    return _weights(spark, sf_dir, "doc_id")[1].select("doc_id", "gram", F.round("weight", 6).alias("weight"))
 
 
 @query(f"{_X} SELECT lang, gram, w FROM (SELECT lang, gram, round(sum(weight), 4) AS w, row_number() OVER (PARTITION BY lang ORDER BY round(sum(weight), 4) DESC, gram) AS k FROM x GROUP BY lang, gram) WHERE k <= 10")
@@ -325,7 +378,7 @@ def top_grams_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: tokens, stop words, n-grams, vocabulary and TF-IDF of all documents, and each language's top ten."""
     from pyspark.sql import Window
 
-    by = _weights(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang", "gram").agg(F.round(F.sum("weight"), 4).alias("w"))
+    by = _weights(spark, sf_dir, "lang")[1].groupBy("lang", "gram").agg(F.round(F.sum("weight"), 4).alias("w"))
     k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("w"), "gram"))
     return by.withColumn("k", k).where(F.col("k") <= 10).drop("k")
 
@@ -347,12 +400,12 @@ def kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Evaluation.
-_P = "WITH p AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS title, CAST(lang = 'en' AS DOUBLE) AS actual, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS predicted FROM documents)"
+_P = "WITH p AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS title, CAST(lang = 'en' AS DOUBLE) AS actual, (doc_id * 7919 % 1000003) / 1000003.0::DOUBLE AS predicted FROM documents)"
 _ROC = f"{_P}, grp AS (SELECT predicted, sum(actual) AS pos, count(*) AS n FROM p GROUP BY predicted), pts AS (SELECT predicted AS threshold, sum(pos) OVER (ORDER BY predicted DESC) AS tp, sum(n - pos) OVER (ORDER BY predicted DESC) AS fp, sum(pos) OVER () AS ap, sum(n - pos) OVER () AS an, pos, n - pos AS neg FROM grp), roc AS (SELECT threshold, tp, fp, tp / ap AS tpr, fp / an AS fpr FROM pts UNION ALL SELECT NULL, 0, 0, 0, 0)"
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = (F.col("doc_id") * 7919 % 1000) / F.lit(1000.0)
+    score = (F.col("doc_id") * 7919 % 1000003) / F.lit(1000003.0)
     return _docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("title"), (F.col("lang") == "en").cast("double").alias("actual"), score.alias("predicted"))
 
 
@@ -397,7 +450,13 @@ def confusion_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_P} SELECT title, predicted, actual, predicted > 0.2 AS threshold_pred FROM p WHERE {_BUCKET} = 'FP' ORDER BY predicted, title LIMIT 20")
 def fp_titles_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty false positives of least score."""
-    return evaluate.bucket_report(_scored(spark, sf_dir), 0.2, "FP").orderBy("predicted", "title").limit(20)
+    return evaluate.bucket_ends(_scored(spark, sf_dir), 0.2, "FP")
+
+
+@query(f"{_P} SELECT title, predicted, actual, predicted > 0.2 AS threshold_pred FROM p WHERE {_BUCKET} = 'FP' ORDER BY predicted DESC, title DESC LIMIT 20")
+def fp_titles_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty false positives of largest score."""
+    return evaluate.bucket_ends(_scored(spark, sf_dir), 0.2, "FP", last=True)
 
 
 @query(f"{_P} SELECT count(*) FILTER (predicted > 0.18) AS over_18, count(*) FILTER (predicted >= 0.2) AS from_20, count(*) AS n FROM p")
@@ -471,9 +530,8 @@ _NB = f"{_X}, lab AS (SELECT doc_id, CAST(lang = 'en' AS INT) AS label FROM docu
 
 
 def _bayes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    tf = _tf(spark, sf_dir)
-    vocab = _vocab(spark, sf_dir, tf)
-    weights = vectorize.tfidf(tf, vocab, "doc_id")
+    vocab, weights = _weights(spark, sf_dir, "doc_id")
+    weights = stored(weights.drop("gram"), "weights")
     labels = _docs(spark, sf_dir).select("doc_id", split.is_target(F.col("lang"), "en").alias("label"))
     return weights, labels, *classify.naive_bayes(weights, labels, vocab, "doc_id")
 
@@ -499,14 +557,14 @@ def lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import fit
 
     docs = _training(spark, sf_dir)
-    return fit(docs, "fr", 1.0, size=SIZE, n_grams=1).scored(docs).select("doc_id", "predicted")
+    return fit(docs, "fr", 1.0).scored(docs).select("doc_id", "predicted")
 
 
 @query()
 def lr_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import train
 
-    return train(_training(spark, sf_dir), "fr", cs=(0.1, 1.0), size=SIZE, n_grams=1).grid
+    return train(_training(spark, sf_dir), "fr").grid
 
 
 @query()
@@ -514,4 +572,4 @@ def deploy_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pipeline import fit
 
     docs = _training(spark, sf_dir)
-    return fit(docs, "fr", 1.0, size=SIZE, n_grams=1).predictions(docs, 0.2, title="doc_id")
+    return fit(docs, "fr", 1.0).predictions(docs, 0.2, title="doc_id")

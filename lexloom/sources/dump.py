@@ -26,7 +26,7 @@ def framed(chunks: DataFrame) -> DataFrame:
 
 def parsed(raw: DataFrame) -> DataFrame:
     """page_id, title, ns, redirect, timestamp, text, raw_xml of page fragments. Titles stay text, whatever they look like."""
-    page = F.from_xml(F.concat(F.lit("<page>"), F.col("raw_xml"), F.lit("</page>")), F.lit(PAGE), {"valueTag": "_VALUE", "attributePrefix": "_", "mode": "PERMISSIVE"})
+    page = F.from_xml(F.concat(F.lit("<page>"), F.col("raw_xml"), F.lit("</page>")), F.lit(PAGE), {"valueTag": "_VALUE", "attributePrefix": "_", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
     return raw.withColumn("p", page).select(F.col("p.id").alias("page_id"), F.col("p.title").alias("title"), F.col("p.ns").alias("ns"), F.col("p.redirect._title").alias("redirect"), F.col("p.revision.timestamp").alias("timestamp"), F.col("p.revision.text._VALUE").alias("text"), "raw_xml")
 
 
@@ -56,10 +56,15 @@ def with_titles(pages: DataFrame, titles: DataFrame, title: str = "title") -> Da
     return pages.join(titles.select(F.col(titles.columns[0]).alias(title)), title, "left_semi")
 
 
+def plain_text(c: Column) -> Column:
+    """Text without categories, markup and code."""
+    return wikitext.strip_code(wikitext.without_categories(wikitext.remove_markup(c)))
+
+
 def long_pages(pages: DataFrame, target: str | None = None) -> DataFrame:
     """The long form of pages: markup, links of all kinds, categories, tags, descriptions, math."""
     t, raw = F.col("text"), F.col("raw_xml")
-    clean: Column = wikitext.strip_code(wikitext.without_categories(wikitext.remove_markup(t)))
+    clean = plain_text(t)
     return pages.select(
         "title", "timestamp", F.col("page_id").cast("string").alias("id_"), raw.alias("full_raw_xml"), t.alias("full_markup_text"),
         F.array_join(wikitext.without_prefixed_lines(clean), " ").alias("cleaned_markup_text"), wikitext.article_links(t).alias("links"), F.lit(target).cast("string").alias("target"),

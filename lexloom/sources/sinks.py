@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by the given order, all columns as the tie-break."""
-    w = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*rows.columns))
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+    """The first row of each key by the given order, all columns as the tie-break. Aggregated before the shuffle, so a hot key is no load."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order, F.xxhash64(*rows.columns))).alias("_first"))
+    return first.select("_first.*")
 
 
 def absent(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,6 +59,11 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="")
 
 
+def write_text(rows: DataFrame, column: str, path: str) -> None:
+    """A line for each row: the text corpus of a target. Rows without a text, or with the literal text `nan`, are left out."""
+    rows.where(F.col(column) != "nan").select(F.translate(column, "\r\n", "  ")).write.mode("overwrite").text(path)
+
+
 def write_version(table: DataFrame, path: str, version: int) -> str:
     """A whole table as a version of its own; readers of older versions are not disturbed."""
     at = f"{path}/version={version}"

@@ -14,8 +14,8 @@ def deploy_stream(spark: SparkSession, folder: str, model: Classifier, threshold
     pages = dump.articles(dump.stream_pages(spark, folder))
 
     def store(batch: DataFrame, _: int) -> None:
-        docs = dump.dissected_pages(batch).select("title", "feature_union")
-        rows = model.predictions(docs.dropDuplicates(["title"]), threshold)
+        docs = dump.dissected_pages(batch).select("title", "timestamp", "feature_union")
+        rows = model.predictions(sinks.first_by(docs, ["title"], ["timestamp"]), threshold)
         sinks.insert_if_absent(rows, out, ["title"], ["title"])
 
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import classify, evaluate, graph, split, vectorize
 from lexloom.plans import pipeline, queries
+from lexloom.sources import sinks
 
 
 def test_vocabulary_band_and_weights(spark):
     rows = [(d, g, 1) for g, df in (("low", 4), ("five", 5), ("six", 6), ("b", 5)) for d in range(df)]
     tf = spark.createDataFrame(rows, "doc_id long, gram string, tf long")
-    vocab = vectorize.vocabulary(tf, 10, keep=1)
+    frequencies = vectorize.document_frequencies(tf)
+    vocab = vectorize.vocabulary(frequencies, 10, keep=1)
     assert [(r.gram, r.df, r.term_id, r.idf) for r in vocab.collect()] == [("b", 5, 0, log2(2))]
-    weights = vectorize.tfidf(tf, vectorize.vocabulary(tf, 10), "doc_id")
+    whole = vectorize.vocabulary(frequencies, 10)
+    assert [tuple(r) for r in vectorize.vocabulary(frequencies, 10, keep=None).orderBy("term_id").collect()] == [tuple(r) for r in whole.orderBy("term_id").collect()]
+    weights = vectorize.tfidf(tf, whole, "doc_id")
     norms = weights.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-9 for r in norms)
-    docs = spark.range(7).withColumnRenamed("id", "doc_id")
-    vectors = {r.doc_id: r.features for r in vectorize.vectors(weights, docs, "doc_id", 3).collect()}
-    assert vectors[6].numNonzeros() == 0 and vectors[0].size == 3 and vectors[0].numNonzeros() == 2
+    arrays = tf.groupBy("doc_id").agg(F.collect_list("gram").alias("grams")).unionByName(spark.createDataFrame([(6, [])], "doc_id long, grams array<string>"))
+    assert sorted(map(tuple, vectorize.array_frequencies(arrays, "grams").collect())) == sorted(map(tuple, frequencies.collect()))
+    rows = vectorize.vectors(arrays, whole, "grams", 3)
+    vectors = {r.doc_id: (r.features, r.n_terms) for r in rows.collect()}
+    assert vectors[6][0].numNonzeros() == vectors[6][1] == 0 and vectors[0][0].size == 2 and vectors[0][1] == 2
+    both = [sorted((r.doc_id, r.gram, r.term_id, round(r.weight, 12)) for r in x.collect()) for x in (weights, vectorize.weights_of(rows, whole, "doc_id"))]
+    assert both[0] == both[1]
+    none = vectorize.vectors(arrays, whole.where("false"), "grams", 3)
+    assert {r.n_terms for r in none.collect()} == {0}
 
 
 def test_splits(spark):
@@ -59,6 +69,33 @@ def test_auc_is_the_share_of_ordered_pairs(spark, rows):
     assert len(grid) == 100 and grid[0].tpr == 0 and grid[-1].tpr == 1
 
 
+def test_places_within_a_frequent_label(spark):
+    rows = spark.createDataFrame([(i * 37 % 500, None if i % 50 == 0 else "a" if i % 7 else "b") for i in range(500)], "k long, y string")
+    got = split.stratified_split(rows.repartition(7), "y", "k", 0.5)
+    for y in ("a", "b", None):
+        own = sorted((r.k, r.part) for r in got.collect() if r.y == y)
+        assert [p for _, p in own] == ["train"] * (len(own) // 2) + ["test"] * (len(own) - len(own) // 2)
+    assert [r.k for r in split.numbered(rows.repartition(7), F.desc("k")).orderBy("idx").collect()] == list(range(499, -1, -1))
+
+
+def test_ends_of_a_bucket(spark):
+    df = scored(spark, [(0, p / 10) for p in range(3, 10)])
+    assert [r.title for r in evaluate.bucket_ends(df, 0.2, "FP", 2).collect()] == ["0", "1"]
+    assert [r.title for r in evaluate.bucket_ends(df, 0.2, "FP", 2, last=True).collect()] == ["6", "5"]
+
+
+def test_first_writer_wins(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, None), (None, 5, "z"), (None, 4, "z")], "k string, at int, v string")
+    assert sorted(((r.k or ""), r.at) for r in sinks.first_by(rows, ["k"], ["at"]).collect()) == [("", 4), ("a", 1), ("b", 2)]
+
+
+def test_cycles_are_found_in_the_core(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "a"), ("s", "s"), ("e", "f"), ("f", "g")]
+    edges = spark.createDataFrame(links, "parent string, child string")
+    assert {(r.parent, r.child) for r in graph.core(edges, 10).collect()} == {("a", "b"), ("b", "c"), ("c", "a"), ("s", "s")}
+    assert {r.node for r in graph.in_cycles(edges, 3).collect()} == {"a", "b", "c", "s"} and {r.node for r in graph.in_cycles(edges, 2).collect()} == {"s"}
+
+
 def test_levels_in_a_cycle(spark):
     edges = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "A")], "parent string, child string")
     tree = graph.levels(edges, "A", 5)
@@ -67,7 +104,7 @@ def test_levels_in_a_cycle(spark):
     assert [(r.depth, r.upto) for r in graph.depth_counts(tree).orderBy("depth").collect()] == [(0, 1), (1, 3), (2, 4)]
 
 
-def test_training(spark):
+def test_training(spark, tmp_path):
     words = {"m": ("ring", "field", "group"), "x": ("cell", "blood", "heart")}
     rows = [(i, t, f"{words[t][i // 3 % 3]} common{i % 2}") for i in range(60) for t in ("m" if i % 3 == 0 else "x",)]
     docs = spark.createDataFrame(rows, "doc_id long, target string, text string")
@@ -79,8 +116,14 @@ def test_training(spark):
     assert found[1] > 0.5 and found[2] == found[3] == 0.0
     assert got.importance().count() > 0
     assert pipeline.target_name("Computer Science") == "computer_science" and pipeline.seed_parts("seed/computer_science_d5.csv") == ("computer_science", 5)
+    assert [pipeline.target_name(x) for x in ("Aeronautics", "Arts", "Biology", "Chemistry", "Computer Science", "Engineering", "Mathematics", "Philosophy", "Physics")] == list(pipeline.TARGETS)
     with pytest.raises(ValueError):
         pipeline.target_name("cooking")
+    got.final.save(f"{tmp_path}/model")
+    again = pipeline.load(spark, f"{tmp_path}/model")
+    assert {r.doc_id: r.predicted for r in again.scored(new).collect()} == found and (again.target, again.n_grams) == ("m", 1)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        pipeline.load(spark, f"{tmp_path}/none")
 
 
 def test_semi_and_anti_joins_in_plans(spark):

@@ -34,7 +34,7 @@ from .components import components
 #: Words of an n-gram, least Jaccard similarity of a link, share of links at that similarity that banding must find.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Rows of a band; classes and n-grams of a block (about); hashes of words that a worker keeps.
-ROWS, BLOCK, BLOCK_GRAMS, KEPT_WORDS = 8, 256, 2_000_000, 300_000
+ROWS, BLOCK, BLOCK_GRAMS, KEPT_WORDS = 6, 256, 2_000_000, 300_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 
 
@@ -223,9 +223,9 @@ def _linked(docs: DataFrame, threshold: float, recall: float, words: int, rows:
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS))
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), blocks.alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where(F.col("size") > 1)
     once = stored(buckets.groupBy("size", "n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    members = banded.join(once, "bucket").groupBy("key").agg(F.collect_list(F.struct("bucket", F.col("n").alias("size"))).alias("buckets"))  # at most one for each band
+    # Buckets and candidates grow with the documents, so they are never broadcast.
+    members = banded.select("key", "bucket").join(once.hint("merge"), "bucket").groupBy("key").agg(F.collect_list(F.struct("bucket", F.col("n").alias("size"))).alias("buckets"))  # at most one for each band
     asked = stored(classes.select("key", "rep", "copies").join(members, "key"), "candidates")
-    # Candidates grow with the documents, so they are never broadcast.
     plain = documents(docs, "doc_id", "text")
     texts = plain.join(asked.where(F.col("rep").isNotNull()).hint("merge"), F.col("doc_id") == F.col("rep")).select("key", "copies", "buckets", "text")
     # Classes without any doc_id get their texts by key.

@@ -132,6 +132,22 @@ def test_semi_and_anti_joins_in_plans(spark):
     assert "LeftSemi" in plan(queries.semi_join_titles(spark, sf)) and "LeftAnti" in plan(queries.anti_insert_if_absent(spark, sf))
 
 
+def test_logistic_regression_is_at_its_optimum(spark):
+    """The gradient of c x summed loss + half the squared weights vanishes; the intercept is not penalised."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(200, 4))
+    y = (x @ np.array([1.0, -2.0, 0.0, 0.5]) + draw.normal(size=200) > 0).astype(float)
+    rows = spark.createDataFrame([(float(a), Vectors.dense(b)) for a, b in zip(y, x)], ["label", "features"])
+    for c in (0.1, 2.0):
+        model = classify.logistic_regression(rows, c)
+        w, b = model.coefficients.toArray(), model.intercept
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        assert np.abs(c * x.T @ (p - y) + w).max() < 0.02 * c and abs((p - y).sum()) < 0.02
+
+
 def test_logistic_regression_parameter(spark):
     from pyspark.ml.linalg import Vectors
 

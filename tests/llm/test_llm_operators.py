@@ -446,6 +446,8 @@ def test_masked_model_tells_repeated_texts_apart(spark):
     got = masked_lm.score(df := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), masked_lm.learn(df, most=50)).collect()
     twice = [r.mean_log_likelihood for r in got if r.doc_id < 20 or r.doc_id >= 100]
     assert min(twice) > max(r.mean_log_likelihood for r in got if 20 <= r.doc_id < 100)
+    n = Counter(w for t in texts for w in t.split())
+    assert all(abs(r.unseen - sum(n[w] == 1 for w in texts[r.doc_id].split()) / 60) < 1e-12 for r in got)
 
 
 def test_masked_counts_grow_with_the_corpus(spark):

@@ -16,7 +16,8 @@ that was published again is no boilerplate.
 
 The tree's statistics are counts of (host, node, feature), summed before the shuffle, so a hot host is never together
 in one task. The importances come back to pages by a join on the host: broadcast if their table is at most
-`BROADCAST_BYTES`, else shuffled.
+`BROADCAST_BYTES`, else shuffled; both sides are plain tables then, so adaptive execution splits a hot host's pages.
+What a page carries is its host's nodes that at least `LEAST_PAGES` pages have: a site's templates, not its pages.
 
 Defined cases: null or empty html has an empty text; a null url belongs to the host ''; broken markup is read as far
 as it goes, open elements end with the page; repeated rows are pages of their own; an empty table gives no rows; other

@@ -267,7 +267,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     stays = F.col("key").isNull() | F.col("_lexloom_k_key").isNotNull()
     judged = signed.where(F.col("doc_id").isNotNull()).join(keepers, (F.col("key") == F.col("_lexloom_k_key")) & (F.col("doc_id") == F.col("_lexloom_k_id")), "left")
     ids = stored(judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("stays")).where("stays").select(F.col("doc_id").alias("_lexloom_kept_id"), "n"), "kept-ids")
-    out = docs.join(ids.where("n = 1").drop("n"), F.col("doc_id") == F.col("_lexloom_kept_id")).drop("_lexloom_kept_id")
+    # The ids that stay grow with the documents: they are never broadcast.
+    out = docs.join(ids.where("n = 1").drop("n").hint("merge"), F.col("doc_id") == F.col("_lexloom_kept_id")).drop("_lexloom_kept_id")
     special = [docs.where(F.col("doc_id").isNull())] if not signed.where(F.col("doc_id").isNull()).isEmpty() else []
     if not ids.where("n > 1").isEmpty():
         special.append(docs.join(ids.where("n > 1").drop("n"), F.col("doc_id") == F.col("_lexloom_kept_id"), "left_semi"))

@@ -81,16 +81,17 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, passes: int = PA
         over = np.abs(z[at]) - penalty[at]
         return np.where(over > 0, -np.sign(z[at]) * over / ((beta + np.sqrt(n[at])) / alpha + l2), 0.0)
 
-    rows = [(np.append(x, np.uint32(1 << bits)), y) for x, y in rows]
     size = np.ones((1 << bits) + 1)
     size[1 << (bits - 1) : -1] = PAIR
+    last = slice(1 << bits, None)  # the bias, apart from the features, so that these are never copied
     for _ in range(passes):
         for x, y in rows:
-            w = weights(x)
-            g = (1.0 / (1.0 + np.exp(-np.clip((w * size[x]).sum(), -35, 35))) - y) * size[x]
-            step = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / alpha
-            z[x] += g - step * w
-            n[x] += g * g
+            w, bias = weights(x), weights(last)
+            error = 1.0 / (1.0 + np.exp(-np.clip((w * size[x]).sum() + bias[0], -35, 35))) - y
+            for at, own, g in ((x, w, error * size[x]), (last, bias, np.array([error]))):
+                step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
+                z[at] += g - step * own
+                n[at] += g * g
     w = weights(slice(None)) * size
     index = np.flatnonzero(w[:-1])
     return Model(index, w[index], float(w[-1]), bits)
@@ -101,6 +102,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _digest(features: pa.BinaryScalar) -> int:
+    return xxhash.xxh3_64_intdigest(features.as_buffer())
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, bits: int = BITS) -> Model | None:
     """A model from the labelled rows that are not held out. labels: doc_id, toxic."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -123,9 +128,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
         last = r["order"]
     if last is None:
         return None
-    rows = made.where(F.col("order") <= last).collect()
-    rows.sort(key=lambda r: (r["order"], r["doc_id"], r["features"]))
-    return train([(np.frombuffer(r["features"], np.uint32), int(r["toxic"] > 0)) for r in rows], bits)
+    found = made.where(F.col("order") <= last).toArrow().combine_chunks()
+    features = found["features"].cast(pa.binary()).combine_chunks()
+    features = features.chunk(0) if isinstance(features, pa.ChunkedArray) else features
+    ends = np.frombuffer(features.buffers()[1], np.int32)[features.offset :][: len(features) + 1] // 4
+    data = np.frombuffer(features.buffers()[2] or b"", np.uint32)
+    keys = sorted(zip(found["order"].to_pylist(), found["doc_id"].to_pylist(), map(_digest, features), range(len(features)), strict=True))
+    toxic = found["toxic"].to_pylist()
+    return train([(data[ends[i] : ends[i + 1]], int(toxic[i] > 0)) for *_, i in keys], bits)  # views, no copies
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import analyzer, wikitext
 from ..operators import classify, evaluate, graph, split, vectorize
 from ..sources import dump, sinks
-from ..sources.shared import shared_folder, stored
+from ..sources.shared import shared_folder, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,11 +301,11 @@ _X = f"{_V}, raw AS (SELECT doc_id, lang, gram, term_id, tf, tf * idf AS r FROM
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzer.grams(_docs(spark, sf_dir), "doc_id", "text", stemmed=False)
+    return analyzer.grams(spread(_docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", stemmed=False)
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzer.gram_arrays(_docs(spark, sf_dir).select("doc_id", "lang", "text"), "doc_id", "text", stemmed=False).drop("text")
+    return analyzer.gram_arrays(spread(_docs(spark, sf_dir).select("doc_id", "lang", "text")), "doc_id", "text", stemmed=False).drop("text")
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +334,7 @@ def stop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_S}, g AS (SELECT doc_id, list_concat({_level(1)}, list_concat({_level(2)}, {_level(3)})) AS g FROM s) SELECT doc_id, len(g) AS n, md5(array_to_string(g, '|')) AS digest FROM g")
 def ngrams_123(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = analyzer.ngrams(F.col("w"), 3)
-    rows = _docs(spark, sf_dir).select("doc_id", analyzer.without_stop_words(analyzer.tokens(F.col("text"))).alias("w")).select("doc_id", g.alias("g"))
+    rows = spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", analyzer.without_stop_words(analyzer.tokens(F.col("text"))).alias("w")).select("doc_id", g.alias("g"))
     return rows.select("doc_id", F.size("g").cast("long").alias("n"), F.md5(F.array_join("g", "|")).alias("digest"))
 
 

@@ -95,5 +95,16 @@ FROM s LEFT JOIN near ON near.doc_id = s.doc_id AND k = 1
 """
 
 
+FILL_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT doc_id, text, u, len(u) AS n, [CAST('0x' || h[8 * i + 1 : 8 * i + 8] AS BIGINT) FOR i IN range(4)] AS h,
+ text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM d),
+k AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS first, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS last, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1 : first], '') AS prefix, array_to_string(u[first + 1 : last], '') AS middle, array_to_string(u[last + 1 :], '') AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_vptree_ann": NEAREST, "op2_license_scan": license_sql(), "op6_source_mixture": MIXTURE, "op8_ngram_jaccard": JACCARD}
+    return {"op1_vptree_ann": NEAREST, "op2_license_scan": license_sql(), "op6_source_mixture": MIXTURE, "op8_ngram_jaccard": JACCARD, "op12_fill_middle": FILL_MIDDLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_sequences, bin_packing, iso_media, license_scan, masked_lm, ngram_jaccard, site_style_tree, source_mixture, toxicity, vptree_ann
+from . import arrow_sequences, bin_packing, fill_middle, iso_media, license_scan, masked_lm, ngram_jaccard, site_style_tree, source_mixture, token_alignment, token_counts, toxicity, vptree_ann
 from .common import table
 from .oracles import oracle_sql  # noqa: F401  (part of this module's interface)
 
@@ -55,6 +55,18 @@ def op10_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.packed_sequences(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.rearranged_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_vptree_ann, op2_license_scan, op3_site_style_tree, op4_arrow_sequences, op5_masked_lm, op6_source_mixture, op7_toxicity_ftrl, op8_ngram_jaccard, op9_iso_media, op10_bin_packing)
+    own = (op1_vptree_ann, op2_license_scan, op3_site_style_tree, op4_arrow_sequences, op5_masked_lm, op6_source_mixture, op7_toxicity_ftrl, op8_ngram_jaccard, op9_iso_media, op10_bin_packing, op11_token_counts, op12_fill_middle, op13_token_alignment)
     return {f.__name__: f for f in own}

@@ -1,6 +1,7 @@
 """Wiki markup as Column expressions: links, categories, headers, tags, and plain text.
 
-All functions take and give Columns, stay in the JVM and use no look-around, so that patterns run in linear time.
+All functions take and give Columns, stay in the JVM and use no look-around, so that patterns run in linear time. Only
+nested marks, which no pattern can remove in linear time, are removed by one pass in an Arrow UDF (`nesting`).
 Null markup gives null strings and null arrays unless stated.
 """
 
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nesting import nested_marks_removed, templates_removed, templates_removed_each
+
 # Markup patterns, the scrubbed characters, and the namespaces whose links are no article links.
 CATEGORY = r"\[\[([cC]ategory:[^\]\[]*)\]\]"
 CATEGORY_BRACKETED = r"\[\[Category:[^\]\[]*\]\]"
@@ -88,7 +91,8 @@ def article_links(c: Column) -> Column:
 def headers(text: Column) -> Column:
     """Texts of lines that begin with an equals sign."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.startswith(x, F.lit("=")))
-    return F.transform(lines, lambda x: scrub(strip(strip_code(F.replace(x, F.lit("="), F.lit(""))))))
+    plain = templates_removed_each(F.transform(lines, lambda x: F.replace(x, F.lit("="), F.lit(""))))
+    return F.transform(plain, lambda x: scrub(strip(_without_code(x))))
 
 
 def _pairs(c: Column, pattern: str, *names: str) -> Column:
@@ -136,26 +140,12 @@ def without_prefixed_lines(c: Column, prefixes: tuple[str, ...] = ("[[Category:"
     return F.filter(F.split(c, "\n"), keep)
 
 
-def _unnested(c: Column, pattern: str, opening: str, usual: int = 2) -> Column:
-    """Innermost matches replaced by blanks until none is left.
-
-    A text that still has one after the usual depth is gone over once more for each opening mark it has left, which no
-    nesting exceeds.
-    """
-    for _ in range(usual):
-        c = F.regexp_replace(c, pattern, " ")
-    left = F.when(F.rlike(c, F.lit(pattern)), F.sequence(F.lit(1), F.size(F.split(c, opening)) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(left, c, lambda text, _: F.regexp_replace(text, pattern, " "))
-
-
 def remove_markup(c: Column) -> Column:
     """Text without comments, notes, tables and templates (however nested), media links, tags and link brackets."""
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
     c = F.regexp_replace(c, r"(?s)<ref([> ].*?)(</ref>|/>)", "")
     c = F.regexp_replace(c, r"(?s)<math([> ].*?)(</math>|/>)", " ")
-    c = _unnested(c, r"(?s)\{\{[^{}]*\}\}", r"\{\{")
-    c = _unnested(c, r"(?s)\{\|[^{}]*\|\}", r"\{\|")
-    c = F.regexp_replace(c, r"\[\[(?:[iI]mage|[fF]ile):[^\[\]]*\]\]", "")
+    c = nested_marks_removed(c)
     c = without_categories(c)
     c = F.regexp_replace(c, r"\[\w+://[^ \]]*( [^\]]*)?\]", "$1")
     c = F.regexp_replace(c, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1")
@@ -165,7 +155,10 @@ def remove_markup(c: Column) -> Column:
 
 def strip_code(c: Column) -> Column:
     """Text without quote marks of bold and italics, link targets, tags and templates; entities as characters."""
-    c = _unnested(c, r"(?s)\{\{[^{}]*\}\}", r"\{\{")
+    return _without_code(templates_removed(c))
+
+
+def _without_code(c: Column) -> Column:
     c = F.regexp_replace(c, r"'{2,5}", "")
     c = F.regexp_replace(c, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1")
     c = F.regexp_replace(c, r"\[\[([^\[\]]*)\]\]", "$1")

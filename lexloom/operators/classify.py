@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
-from .evaluate import best_parameter, log_loss
+from . import many_models
+from .evaluate import best_parameter
 
 #: Inverse regularisation strengths of the grid.
 GRID = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 4.0, 6.0, 8.0)
@@ -49,22 +51,33 @@ def scores(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
 
 
 def grid(train: DataFrame, test: DataFrame, cs: Sequence[float] = GRID, selection: str = "test", folds: int = 5, key: str = "doc_id") -> tuple[float, DataFrame]:
-    """(best c, table of c and score): least log loss on the test rows, or the mean over folds of the training rows."""
+    """(best c, table of c and score): least log loss on the test rows, or the mean over folds of the training rows.
+
+    All values of c, and all folds, are trained together: each iteration scans the rows once.
+    """
     from .split import k_folds
 
     if selection not in ("test", "cv"):
         raise ValueError("selection is 'test' or 'cv'")
-    spark = train.sparkSession
-    loss = lambda a, b, c: log_loss(scores(logistic_regression(a, c), b).withColumn("actual", F.col("label"))).head()[0]
-    rows = []
-    split = stored(k_folds(train, "label", key, folds), "folds") if selection == "cv" else None
-    for c in cs:
-        if split is None:
-            rows.append((float(c), loss(train, test, c)))
+    spark, cs = train.sparkSession, [float(c) for c in cs]
+    first = train.select("features").head()
+    n_terms = first["features"].size if first else 0
+    whole = F.lit(-2).alias("fold")
+    if selection == "cv":
+        rows = many_models.sparse_rows(k_folds(train, "label", key, folds), "fold")
+        specs = [many_models.Spec(c, k) for c in cs for k in range(folds)]
+    else:
+        rows, specs = many_models.sparse_rows(train, whole), [many_models.Spec(c) for c in cs]
+    rows = stored(rows, "grid-rows").persist()
+    try:
+        points = many_models.fit_many(rows, specs, n_terms).points
+        if selection == "cv":
+            scores = many_models.log_losses(rows, points, np.array([s.without for s in specs])).reshape(len(cs), folds).mean(1)
         else:
-            each = [loss(split.where(F.col("fold") != k), split.where(F.col("fold") == k), c) for k in range(folds)]
-            rows.append((float(c), sum(each) / len(each)))
-    table = spark.createDataFrame(rows, "c double, score double")
+            scores = many_models.log_losses(many_models.sparse_rows(test, whole), points)
+    finally:
+        rows.unpersist()
+    table = spark.createDataFrame(list(zip(cs, map(float, scores), strict=True)), "c double, score double")
     return best_parameter(table).head()["c"], table
 
 

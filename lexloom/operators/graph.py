@@ -1,7 +1,11 @@
-"""Category graphs: edges, depth-labelled breadth-first search, and depth counts."""
+"""Category graphs: edges, depth-labelled breadth-first search, depth counts, components, paths and weights."""
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +67,15 @@ def limit_depth(tree: DataFrame, depth: int) -> DataFrame:
     return tree.where(F.col("depth") < depth)
 
 
-def core(edges: DataFrame, rounds: int) -> DataFrame:
-    """parent, child: the links that may be part of a cycle of at most `rounds` links.
+def core(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """parent, child: the links that may be part of a cycle (of at most `rounds` links).
 
     A link whose child has no link, or to whose parent no link leads, is in no cycle; such links are taken away until
     none is left, or as often as a walk of that many links can notice.
     """
     left = stored(edges.select("parent", "child").distinct(), "core")
     n = left.count()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         starts, ends = left.select(F.col("parent").alias("node")).distinct(), left.select(F.col("child").alias("node")).distinct()
         both = starts.intersect(ends)
         trimmed = left.join(both.withColumnRenamed("node", "child"), "child", "left_semi").join(both.withColumnRenamed("node", "parent"), "parent", "left_semi")
@@ -82,12 +86,75 @@ def core(edges: DataFrame, rounds: int) -> DataFrame:
     return left
 
 
-def in_cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """node: nodes that reach themselves within `depth` links.
+def _least_ancestors(links: DataFrame) -> DataFrame:
+    """node, colour: the least node from which a walk leads to the node, which may be itself.
+
+    Only nodes whose colour has just changed pass it on, and the least of what a node gets is taken before the shuffle.
+    """
+    nodes = links.select(F.col("parent").alias("node")).union(links.select("child")).distinct()
+    known = changed = stored(nodes.withColumn("colour", F.col("node")), "colours")
+    while True:
+        offers = changed.join(links, F.col("node") == F.col("parent")).groupBy("child").agg(F.min("colour").alias("offer"))
+        better = known.join(offers, F.col("node") == F.col("child")).where(F.col("offer") < F.col("colour"))
+        changed = stored(better.select("node", F.col("offer").alias("colour")), "colours-changed")
+        if changed.isEmpty():
+            return known
+        new = known.join(changed.withColumnRenamed("colour", "new"), "node", "left")
+        known = stored(new.select("node", F.coalesce("new", "colour").alias("colour")), "colours")
+
+
+def _roots_members(links: DataFrame, colours: DataFrame) -> DataFrame:
+    """node, component: the nodes that reach the node that is their colour, by walks within the colour."""
+    of = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+    inner = links.join(of("parent"), "parent").join(of("child"), "child").where(F.col("parent_colour") == F.col("child_colour"))
+    inner = stored(inner.select("parent", "child", F.col("parent_colour").alias("component")), "colour-links")
+    front = seen = stored(colours.where(F.col("node") == F.col("colour")).select("node", F.col("colour").alias("component")), "component-front")
+    while True:
+        step = inner.join(front.select(F.col("node").alias("child")), "child", "left_semi").select(F.col("parent").alias("node"), "component").distinct()
+        front = stored(step.join(seen.select("node"), "node", "left_anti"), "component-front")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the strongly connected component of every node of parent, child links, named by its least node.
 
-    Walks start only from nodes of the `core`. A pair (start, reached node) is kept once, at its least distance.
+    Links that are in no cycle are trimmed away. Then every node takes the least node from which it is reached as its
+    colour, and those that reach that node within the colour are its component; the links of the others go on to the
+    next round. Each table has a row for each node or link that is left: no pairs of nodes are made. Links with a null
+    end are left out; a node that is linked only to itself is a component of its own.
     """
-    links = core(edges, depth)
+    links = stored(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct(), "links")
+    nodes = links.select(F.col("parent").alias("node")).union(links.select("child")).distinct()
+    left, found = core(links.where("parent <> child")), []
+    while not left.isEmpty():
+        members = stored(_roots_members(left, stored(_least_ancestors(left), "colours")), "component")
+        found.append(members)
+        own = lambda c, members=members: members.select(F.col("node").alias(c))
+        left = core(left.join(own("parent"), "parent", "left_anti").join(own("child"), "child", "left_anti"))
+    if not found:
+        return nodes.withColumn("component", F.col("node"))
+    labelled = functools.reduce(DataFrame.unionByName, found)
+    return nodes.join(labelled, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def inner_links(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """parent, child: distinct links whose ends are in one component. Each is part of a cycle."""
+    of = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    both = edges.select("parent", "child").distinct().join(of("parent"), "parent").join(of("child"), "child")
+    return both.where(F.col("parent_part") == F.col("child_part")).select("parent", "child")
+
+
+def in_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """node: nodes that reach themselves; with `depth`, within so many links.
+
+    Without `depth` these are the ends of links within components. With it, walks stay within components, and a pair
+    (start, reached node of its component) is kept once, at its least distance.
+    """
+    links = stored(inner_links(edges, components(edges)), "cycle-links")
+    if depth is None:
+        return links.select(F.col("parent").alias("node")).distinct()
     reach = front = links.select(F.col("parent").alias("a"), F.col("child").alias("b"))
     for _ in range(depth - 1):
         # A walk that is back at its start has been found and goes no further.
@@ -97,3 +164,61 @@ def in_cycles(edges: DataFrame, depth: int) -> DataFrame:
             break
         reach = reach.unionByName(front)
     return reach.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
+
+
+def reaching(links: DataFrame, relation: str, targets: DataFrame, first: str | None = None) -> DataFrame:
+    """item: what a path of links leads from to one of the targets: the path `relation*`, or `first/relation*`.
+
+    links: item, relation, to. targets: item. The closure is semi-naive: each round follows links back only from what the
+    round before has found, and nothing found is followed twice, so cycles end and no pairs are made.
+    """
+    typed = lambda r: links.where(F.col("relation") == r).select("item", "to")
+    back, seen = typed(relation), targets.select("item").distinct()
+    front = seen = stored(seen, "closure")
+    while True:
+        step = back.join(front.select(F.col("item").alias("to")), "to", "left_semi").select("item").distinct()
+        front = stored(step.join(seen, "item", "left_anti"), "closure")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    if first is None:
+        return seen
+    return typed(first).join(seen.select(F.col("item").alias("to")), "to", "left_semi").select("item").distinct()
+
+
+def topic_items(links: DataFrame, branches: Sequence[tuple[str | None, str, DataFrame]], articles: DataFrame, link: str) -> DataFrame:
+    """item, article, link_to: distinct items of any branch (first, relation, targets), with their articles and links where they have any.
+
+    articles: item, article. An item with several articles or links of the relation `link` has a row for each pair of them.
+    """
+    items = functools.reduce(DataFrame.union, [reaching(links, relation, targets, first) for first, relation, targets in branches]).distinct()
+    to = links.where(F.col("relation") == link).select("item", F.col("to").alias("link_to"))
+    return items.join(articles.select("item", "article"), "item", "left").join(to, "item", "left").select("item", "article", "link_to").distinct()
+
+
+def depth_weights(edges: DataFrame, roots: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, most: int = 1000) -> DataFrame:
+    """node, weight: how much of the roots' weight comes down to each node along parent, child links.
+
+    A root (node) starts with its equal share of 1 - damping. Every node passes `damping` of its weight down, in equal
+    parts to its distinct children; so nodes near a root weigh more than those far below, and several ways to a node add
+    up. What is passed is summed by child before the shuffle. Rounds end when all that is still passed on is at most
+    `tolerance`: in cycles, too, since each round passes on `damping` of the last at most. Unreached nodes weigh 0.
+    """
+    if not 0 <= damping < 1:
+        raise ValueError("damping is at least 0 and below 1")
+    links = stored(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct(), "weight-links")
+    fan = links.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+    nodes = links.select(F.col("parent").alias("node")).union(links.select("child")).union(roots.select("node")).distinct()
+    n = roots.select("node").distinct().count()
+    passed = stored(roots.select("node").distinct().withColumn("weight", F.lit((1 - damping) / max(n, 1))), "passed")
+    kept = passed
+    for _ in range(most):
+        share = passed.join(fan, F.col("node") == F.col("parent")).select("parent", (F.col("weight") * damping / F.col("children")).alias("share"))
+        new = share.join(links, "parent").groupBy(F.col("child").alias("node")).agg(F.sum("share").alias("weight"))
+        passed = stored(new, "passed")
+        total = passed.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).head()[0]
+        kept = stored(kept.unionByName(passed).groupBy("node").agg(F.sum("weight").alias("weight")), "weights")
+        # What later rounds can still add is at most total / (1 - damping).
+        if total <= tolerance * (1 - damping):
+            break
+    return nodes.join(kept, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import dump, sinks
+from ..sources.store import Store
+
+#: The columns of a collection of pages.
+PAGE = "title string, full_raw_xml string, target string"
 
 
 def ingest(spark: SparkSession, dumps: str, titles: DataFrame, target: str, collection: str, limit: int | None = None) -> None:
@@ -14,12 +18,12 @@ def ingest(spark: SparkSession, dumps: str, titles: DataFrame, target: str, coll
     titles: the first column has them. limit: most pages that are added; null or 0 is no limit.
     """
     pages = dump.with_titles(dump.read_pages(spark, dumps), titles).select("title", F.col("raw_xml").alias("full_raw_xml"), F.lit(target).alias("target"))
-    sinks.insert_if_absent(pages.limit(limit) if limit else pages, collection, ["title"], ["title"])
+    Store(spark, collection, PAGE, ["title"]).insert_if_absent(pages.limit(limit) if limit else pages, ["full_raw_xml"])
 
 
 def dissect(spark: SparkSession, collection: str, out: str, version: int) -> str:
     """A new version of a collection of pages, whose rows also have what their markup holds. Gives the version's path."""
-    pages = spark.read.parquet(collection)
+    pages = Store(spark, collection, PAGE, ["title"]).read()
     texts = dump.parsed(pages.select(F.col("full_raw_xml").alias("raw_xml")))
     changes = sinks.first_by(dump.dissected_pages(texts), ["title"], ["timestamp"])
     return sinks.write_version(sinks.updated(pages, changes, "title"), out, version)

@@ -9,8 +9,8 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import gram_arrays
-from ..operators import classify, evaluate, split, vectorize
+from ..functions.analyzer import gram_arrays, gram_words
+from ..operators import classify, evaluate, frequencies, split, vectorize
 from ..sources.shared import stored
 
 #: The categories that can be typed.
@@ -80,11 +80,16 @@ def load(spark: SparkSession, path: str) -> Classifier:
     return Classifier(s["target"], vocab, LogisticRegressionModel.load(f"{path}/model"), s["size"], s["n_grams"], s["key"], s["text"])
 
 
+def _vocabulary(own: DataFrame, text: str, n_grams: int, no_below: int, size: int) -> DataFrame:
+    words = own.select(gram_words(F.col(text)).alias("words"))
+    return stored(frequencies.pruned_vocabulary(words, "words", own.count(), n_grams, no_below, keep=size), "vocabulary")
+
+
 def fit(docs: DataFrame, target: str, c: float, size: int = vectorize.KEEP, n_grams: int = 3, label: str = "target", key: str = "doc_id", text: str = "text", no_below: int = vectorize.NO_BELOW) -> Classifier:
     """A classifier whose vocabulary and document frequencies come from the target's own documents."""
     labelled = docs.withColumn("label", split.is_target(F.col(label), target).cast("double"))
     own = labelled.where(F.col("label") == 1)
-    vocab = stored(vectorize.vocabulary(vectorize.array_frequencies(gram_arrays(own.select(key, text), key, text, n_grams), "grams"), own.count(), no_below, keep=size), "vocabulary")
+    vocab = _vocabulary(own, text, n_grams, no_below, size)
     model = Classifier(target, vocab, None, size, n_grams, key, text)
     model.model = classify.logistic_regression(stored(model.features(labelled).select("label", "features"), "features"), c)
     return model
@@ -110,7 +115,7 @@ def train(docs: DataFrame, target: str, cs: Sequence[float] = classify.GRID, siz
     """Splits 80:20 by label, fits the grid, evaluates the best parameter, and fits it to all documents."""
     rows = split.stratified_split(docs.withColumn("label", split.is_target(F.col(label), target).cast("double")), "label", key)
     own = rows.where((F.col("part") == "train") & (F.col("label") == 1))
-    vocab = stored(vectorize.vocabulary(vectorize.array_frequencies(gram_arrays(own.select(key, text), key, text, n_grams), "grams"), own.count(), no_below, keep=size), "vocabulary")
+    vocab = _vocabulary(own, text, n_grams, no_below, size)
     features = Classifier(target, vocab, None, size, n_grams, key, text).features(rows)
     found = stored(features.select(*dict.fromkeys((key, title)), "label", "part", "features"), "features")
     training, test = found.where(F.col("part") == "train"), found.where(F.col("part") == "test")

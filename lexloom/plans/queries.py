@@ -6,13 +6,14 @@ stands for a target, and scores are a fixed function of the id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analyzer, wikitext
-from ..operators import classify, evaluate, graph, split, vectorize
+from ..operators import classify, evaluate, frequencies, graph, split, vectorize
 from ..sources import dump, sinks
 from ..sources.shared import shared_folder, spread, stored
 
@@ -309,7 +310,9 @@ def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectorize.vocabulary(vectorize.array_frequencies(_arrays(spark, sf_dir), "grams"), _docs(spark, sf_dir).count())
+    docs = _docs(spark, sf_dir)
+    words = spread(docs.select("text")).select(analyzer.gram_words(F.col("text"), stemmed=False).alias("words"))
+    return frequencies.pruned_vocabulary(words, "words", docs.count())
 
 
 def _weights(spark: SparkSession, sf_dir: str, *keys: str) -> tuple[DataFrame, DataFrame]:
@@ -378,14 +381,16 @@ def top_grams_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: tokens, stop words, n-grams, vocabulary and TF-IDF of all documents, and each language's top ten."""
     from pyspark.sql import Window
 
-    by = _weights(spark, sf_dir, "lang")[1].groupBy("lang", "gram").agg(F.round(F.sum("weight"), 4).alias("w"))
+    vocab = stored(_vocab(spark, sf_dir), "vocabulary")
+    rows = vectorize.vectors(_arrays(spark, sf_dir), vocab, "grams", vectorize.KEEP)
+    by = vectorize.weights_by_id(rows, "lang").groupBy("lang", "term_id").agg(F.round(F.sum("weight"), 4).alias("w"))
     k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("w"), "gram"))
-    return by.withColumn("k", k).where(F.col("k") <= 10).drop("k")
+    return vectorize.with_grams(by, vocab).withColumn("k", k).where(F.col("k") <= 10).select("lang", "gram", "w")
 
 
 @query()
 def stemmed_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzer.grams(_docs(spark, sf_dir), "doc_id", "text", 1)
+    return analyzer.grams(spread(_docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 3)
 
 
 # Splits.
@@ -525,6 +530,69 @@ def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_cycles(_tree_edges(spark, sf_dir, orders=False), 3)
 
 
+# Components: walks only between nodes that have children, since what has none is in no cycle.
+_INNER = f"{_E}, n AS (SELECT parent AS node FROM e UNION SELECT child FROM e), i AS (SELECT DISTINCT e.parent, e.child FROM e WHERE e.child IN (SELECT parent FROM e)), reach AS (SELECT parent AS a, child AS b FROM i UNION SELECT reach.a, i.child FROM reach JOIN i ON i.parent = reach.b)"
+
+
+@query(f"{_INNER}, scc AS (SELECT x.a AS node, min(x.b) AS least FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT node, least(node, coalesce(least, node)) AS component FROM n LEFT JOIN scc USING (node)")
+def scc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongly connected component of every node, orders' too."""
+    return graph.components(_tree_edges(spark, sf_dir))
+
+
+@query(f"{_INNER} SELECT DISTINCT a AS node FROM reach WHERE a = b")
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes that reach themselves, however long the way."""
+    return graph.in_cycles(_tree_edges(spark, sf_dir))
+
+
+# Typed links: nations and suppliers are parts, regions are subclasses in cycles, customers are instances, parts have subjects.
+_TYPED = """WITH RECURSIVE link AS (
+ SELECT 'n' || n_nationkey AS item, 'part' AS relation, 'r' || n_regionkey AS "to" FROM nation UNION ALL SELECT 's' || s_suppkey, 'part', 'n' || s_nationkey FROM supplier
+ UNION ALL SELECT 'r' || r_regionkey, 'subclass', 'r' || (r_regionkey * 2 % 5) FROM region UNION ALL SELECT 'n' || n_nationkey, 'subclass', 'r' || n_regionkey FROM nation
+ UNION ALL SELECT 'c' || c_custkey, 'instance', 'n' || c_nationkey FROM customer UNION ALL SELECT 'p' || p_partkey, 'subject', 'r' || (p_size % 5) FROM part),
+ article AS (SELECT 'c' || c_custkey AS item, c_name AS article FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier),
+ part AS (SELECT 'r1' AS item UNION SELECT link.item FROM part JOIN link ON link."to" = part.item AND relation = 'part'),
+ sub AS (SELECT 'r1' AS item UNION SELECT link.item FROM sub JOIN link ON link."to" = sub.item AND relation = 'subclass'),
+ sub0 AS (SELECT 'r0' AS item UNION SELECT link.item FROM sub0 JOIN link ON link."to" = sub0.item AND relation = 'subclass'),
+ items AS (SELECT item FROM part UNION SELECT item FROM link WHERE relation = 'part' AND "to" IN (SELECT item FROM sub)
+  UNION SELECT item FROM link WHERE relation = 'instance' AND "to" IN (SELECT item FROM sub0) UNION SELECT item FROM link WHERE relation = 'subject' AND "to" IN (SELECT item FROM sub))
+"""
+
+
+def _typed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: _table(spark, sf_dir, n)
+    link = lambda a, k, relation, b, to: (F.concat(F.lit(a), F.col(k).cast("string")).alias("item"), F.lit(relation).alias("relation"), F.concat(F.lit(b), to.cast("string")).alias("to"))
+    parts = [
+        t("nation").select(*link("n", "n_nationkey", "part", "r", F.col("n_regionkey"))),
+        t("supplier").select(*link("s", "s_suppkey", "part", "n", F.col("s_nationkey"))),
+        t("region").select(*link("r", "r_regionkey", "subclass", "r", F.col("r_regionkey") * 2 % 5)),
+        t("nation").select(*link("n", "n_nationkey", "subclass", "r", F.col("n_regionkey"))),
+        t("customer").select(*link("c", "c_custkey", "instance", "n", F.col("c_nationkey"))),
+        t("part").select(*link("p", "p_partkey", "subject", "r", F.col("p_size") % 5)),
+    ]
+    return functools.reduce(DataFrame.union, parts)
+
+
+@query(f'{_TYPED} SELECT DISTINCT items.item, article, l."to" AS link_to FROM items LEFT JOIN article USING (item) LEFT JOIN link l ON l.item = items.item AND l.relation = \'part\'')
+def topic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a topic by four kinds of paths, with their articles and what they are part of, where they have any."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("item")
+    articles = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(name("c", "c_custkey"), F.col("c_name").alias("article")).union(_table(spark, sf_dir, "supplier").select(name("s", "s_suppkey"), "s_name"))
+    at = lambda x: spark.range(1).select(F.lit(x).alias("item"))
+    branches = [(None, "part", at("r1")), ("part", "subclass", at("r1")), ("instance", "subclass", at("r0")), ("subject", "subclass", at("r1"))]
+    return graph.topic_items(_typed_links(spark, sf_dir), branches, articles, "part")
+
+
+# Weights: each step of the recursion adds up what all nodes pass on; after 40 steps less than 1e-8 is left here.
+@query(f"{_E}, l AS (SELECT DISTINCT parent, child FROM e), fan AS (SELECT parent, count(*) AS k FROM l GROUP BY parent), walk AS (SELECT 'root' AS node, 0.15::DOUBLE AS w, 0 AS step UNION ALL SELECT l.child, sum(walk.w * 0.85 / k), walk.step + 1 FROM walk JOIN fan ON fan.parent = walk.node JOIN l ON l.parent = walk.node WHERE step < 40 GROUP BY l.child, walk.step), n AS (SELECT parent AS node FROM e UNION SELECT child FROM e) SELECT node, round(coalesce(sum(w), 0), 6) AS weight FROM n LEFT JOIN walk USING (node) GROUP BY node")
+def depth_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the root's weight comes down to each node."""
+    roots = spark.range(1).select(F.lit("root").alias("node"))
+    weights = graph.depth_weights(_tree_edges(spark, sf_dir), roots, tolerance=1e-7)
+    return weights.select("node", F.round("weight", 6).alias("weight"))
+
+
 # Classifiers.
 _NB = f"{_X}, lab AS (SELECT doc_id, CAST(lang = 'en' AS INT) AS label FROM documents), prior AS (SELECT label, ln(count(*) * 1.0 / (SELECT count(*) FROM lab)) AS log_prior FROM lab GROUP BY label), mass AS (SELECT label, term_id, sum(weight) AS w FROM x JOIN lab USING (doc_id) GROUP BY label, term_id), total AS (SELECT label, sum(w) AS total FROM mass GROUP BY label), lik AS (SELECT p.label, v.term_id, ln((coalesce(w, 0) + 1) / (coalesce(total, 0) + (SELECT count(*) FROM vocab))) AS ll FROM prior p CROSS JOIN vocab v LEFT JOIN mass m ON m.label = p.label AND m.term_id = v.term_id LEFT JOIN total t ON t.label = p.label)"
 

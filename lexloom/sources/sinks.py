@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, which may have dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key by the given order, all columns as the tie-break. Aggregated before the shuffle, so a hot key is no load."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    first = rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order, F.xxhash64(*rows.columns))).alias("_first"))
-    return first.select("_first.*")
+    named = [quoted(c).alias(f"c{i}") for i, c in enumerate(rows.columns)]
+    first = rows.groupBy(*[quoted(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*named), F.struct(*map(quoted, order), F.xxhash64(*map(quoted, rows.columns)))).alias("_first"))
+    return first.select(*[F.col(f"_first.c{i}").alias(c) for i, c in enumerate(rows.columns)])
 
 
 def absent(rows: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key (nulls are equal) the existing rows do not have."""
-    known = existing.select(*[F.col(k).alias(f"_k_{k}") for k in keys]).distinct()
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    known = existing.select(*[quoted(k).alias(f"_k_{i}") for i, k in enumerate(keys)]).distinct()
+    same = [quoted(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
@@ -46,11 +51,11 @@ def append_edges(edges: DataFrame, path: str) -> None:
 def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The table with the changes' columns set where the key is in both."""
     new = [c for c in changes.columns if c != key]
-    other = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in new])
-    joined = table.join(other, F.col(key) == F.col("_key"), "left")
-    have = F.col("_key").isNotNull()
-    kept = [F.when(have, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns]
-    added = [F.col(f"_new_{c}").alias(c) for c in new if c not in table.columns]
+    other = changes.select(quoted(key).alias("_key"), *[quoted(c).alias(f"_new_{i}") for i, c in enumerate(new)])
+    joined = table.join(other, quoted(key) == F.col("_key"), "left")
+    have, at = F.col("_key").isNotNull(), {c: F.col(f"_new_{i}") for i, c in enumerate(new)}
+    kept = [F.when(have, at[c]).otherwise(quoted(c)).alias(c) if c in at else quoted(c) for c in table.columns]
+    added = [at[c].alias(c) for c in new if c not in table.columns]
     return joined.select(*kept, *added)
 
 

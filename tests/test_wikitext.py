@@ -124,3 +124,28 @@ def test_trees_and_sinks(spark, tmp_path):
     assert dump.target_rows(targets, "m", negate=True).count() == 2
     with pytest.raises(ValueError):
         dump.require_target(targets, "y")
+
+
+def test_nested_marks_are_removed_as_by_repeated_passes():
+    import random
+    import re
+    import time
+
+    from lexloom.functions import nesting
+
+    def repeated(pattern, text):
+        while (new := re.sub(pattern, " ", text)) != text:
+            text = new
+        return text
+
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choices(["{{", "}}", "{|", "|}", "{", "}", "|", "a"], k=draw.randint(1, 18)))
+        assert nesting.without_templates(text) == repeated(r"\{\{[^{}]*\}\}", text)
+        assert nesting.without_tables(text) == repeated(r"\{\|[^{}]*\|\}", text)
+    for text, left in (("a [[File:x.png|thumb|see [[b|c]] and [http://u t]]] z", "a  z"), ("[[[File:a]]]", "[]"), ("[[File:a [[Image:b]] c", "[[File:a  c"), ("x [[b]] [[File:a|[[b [[c]]]]]] y", "x [[b]]  y"), ("[x] [[File:a|[y]", "[x] [[File:a|[y]")):
+        assert nesting.without_file_links(text) == left
+    for text in ("{{x " * 500_000, "{{x " * 250_000 + "{{y}}", "{{a " * 250_000 + "}}" * 250_000, "{|a " * 300_000 + "|}" * 300_000, "[[File:" * 250_000 + "]]", "[" * 2_000_000 + "]]"):
+        began = time.time()
+        nesting.without_nested_marks(text)
+        assert time.time() - began < 10  # a quadratic scan of 2 MB takes hours

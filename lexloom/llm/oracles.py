@@ -36,7 +36,7 @@ MIXTURE = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
     CASE WHEN coalesce(length(text), 0) = 0 THEN 0.25::DOUBLE ELSE 0.25::DOUBLE + 0.75::DOUBLE * length(translate(text, '{SYMBOLS}', '')) / length(text) END AS q,
-    (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+    (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
 k AS (SELECT *, -ln(u) / q AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, avg(q) AS quality FROM k GROUP BY source),
 w AS (SELECT *, [{", ".join(f"{x}::DOUBLE" for x in WEIGHTS)}][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}) + 1] AS w, {MOST}::DOUBLE * source_size AS cap FROM s),

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document has an exponential key -ln(u) / q: u is a hash of its id, q its quality weight, so that smaller keys
-make a weighted sample without replacement. A source's target is a number of words. Whole epochs of the source come
+Every document has an exponential key -ln(u) / q: u is a hash of its id, its text and its number among equal rows, q its
+quality weight, so that smaller keys make a weighted sample without replacement. A source's target is a number of words. Whole epochs of the source come
 first; the rest is the longest prefix of its documents by ascending key that fits, and then, for the gap that the next
 document would exceed, documents of at most a quarter of it by ascending key, or else that document if this is nearer.
 
@@ -11,8 +11,8 @@ sorted. Every other row is decided by its range alone. Windows over sources and
 row for each source, and for each `range_rows` documents of a source (a few MB for a billion documents of one).
 
 Defined cases: null text has size 0 and is never counted; a null source is a source of its own, the last; sources
-without words have target 0; repeated rows share a key, are distinct documents of equal key and may be cut by the
-budget only together; an empty table gives no rows; other columns are ignored.
+without words have target 0; rows that share an id, or have none, are told apart by their texts, and equal rows by a
+number, so each has a key of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import stored
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Marks of markup, tables and junk that lower a document's quality weight.
 SYMBOLS = "%$#*&|{}<>[]^~="
+#: Equal rows that become numbers in one go.
+NUMBERS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -33,7 +35,7 @@ def word_count(text: Column) -> Column:
 
 
 def content() -> Column:
-    return F.xxhash64("text", "source")
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
 def quality_weight(text: Column) -> Column:
@@ -43,12 +45,28 @@ def quality_weight(text: Column) -> Column:
     return F.when(n == 0, F.lit(0.25)).otherwise(F.lit(0.25) + F.lit(0.75) * plain / n)
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number over 0 and under 1 from 52 bits of the id's hash."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
+def uniform() -> Column:
+    """A number over 0 and under 1 from 52 bits of a hash of doc_id, content and number."""
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "content", F.col("number").cast("string"))
+    bits = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def numbered(measured: DataFrame) -> DataFrame:
+    """A row for each row, with its number among equal ones (0, 1, ...).
+
+    Equal rows are counted before the shuffle, and a count becomes numbers again: for a large count in blocks, which are
+    dealt to tasks before they do. So many copies of a row, or rows without ids and texts, load no task.
+    """
+    groups = measured.groupBy(*measured.columns).agg(F.count(F.lit(1)).alias("rows"))
+    numbers = lambda first, last: F.explode(F.sequence(first, last)).alias("number")
+    few = groups.where(F.col("rows") <= NUMBERS).select(*measured.columns, numbers(F.lit(0).cast("long"), F.col("rows") - 1))
+    blocks = groups.where(F.col("rows") > NUMBERS).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / NUMBERS))))
+    first = F.col("block") * NUMBERS
+    many = blocks.repartition(F.col("content"), F.col("block")).select(*measured.columns, numbers(first, F.least(first + NUMBERS, F.col("rows")) - 1))
+    return few.unionByName(many)
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
     """source, source_size, n, quality (mean), target: shares by weight of all words, none over `most` times its source's size.
 
@@ -70,9 +88,9 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> D
 
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, range_rows: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words that the mix takes of the document), copies, sampling_key, content (hash of text and source)."""
+    """doc_id, source, size, source_size, target, taken (words that the mix takes of the document), copies, sampling_key, content (hash of the text)."""
     measured = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality"), content().alias("content"))
-    keyed = measured.withColumn("sampling_key", -F.log(uniform(F.col("doc_id"))) / F.col("quality"))
+    keyed = numbered(measured).withColumn("sampling_key", -F.log(uniform()) / F.col("quality"))
     sizes = stored(keyed, "mixture-sizes")
     goals = targets(sizes, weights, most).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-9))).otherwise(F.lit(0)).cast("long"))
     goals = goals.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("source_size"))).withColumn("ranges", F.ceil(F.col("n") / range_rows))
@@ -111,11 +129,33 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, range
     return out.select("doc_id", "source", "size", F.col("g_source_size").alias("source_size"), F.col("g_target").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"), "sampling_key", "content")
 
 
+def _by_group(docs: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """Documents joined with their groups of equal id, text and source."""
+    same = F.col("doc_id").eqNullSafe(F.col("_lexloom_id")) & F.col("source").eqNullSafe(F.col("_lexloom_source")) & (content() == F.col("_lexloom_content"))
+    return docs.join(groups, same, how)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document, with all its columns, as many times as `mixture` takes it.
 
-    Rows are told apart by doc_id and content, so different texts that share an id, or have none, get their own copies.
+    Of rows with the same id, text and source, the budget may take some once more than others. Which ones does not
+    matter: they are counted off, by the tasks that hold them, so that many equal rows load no task.
     """
-    taken = mixture(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("_lexloom_id"), F.col("content").alias("_lexloom_content"), F.col("copies").alias("_lexloom_copies")).distinct()
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_lexloom_id")) & (content() == F.col("_lexloom_content")))
-    return both.withColumn("_lexloom_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_lexloom_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keys = {"doc_id": "_lexloom_id", "source": "_lexloom_source", "content": "_lexloom_content"}
+    groups = mixture(docs).groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.min("copies").alias("_lexloom_copies"), F.max("copies").alias("_lexloom_most"), F.sum("copies").alias("_lexloom_sum"), F.count(F.lit(1)).alias("_lexloom_rows"))
+    groups = stored(groups.where(F.col("_lexloom_most") > 0), "mixture-groups")
+    even, uneven = groups.where("_lexloom_copies = _lexloom_most"), groups.where("_lexloom_copies < _lexloom_most")
+    parts = _by_group(docs, even).select(*own, "_lexloom_copies")
+    if not uneven.isEmpty():
+        held = stored(_by_group(docs, uneven).withColumn("_lexloom_task", F.spark_partition_id()), "mixture-uneven")
+        tasks = held.groupBy(*keys.values(), "_lexloom_task").agg(F.count(F.lit(1)).alias("_lexloom_n"))
+        before = Window.partitionBy(*keys.values()).orderBy("_lexloom_task").rowsBetween(Window.unboundedPreceding, -1)
+        tasks = tasks.select(*[F.col(c).alias(f"{c}_t") for c in (*keys.values(), "_lexloom_task")], F.coalesce(F.sum("_lexloom_n").over(before), F.lit(0)).alias("_lexloom_before"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_t")) for c in (*keys.values(), "_lexloom_task")]
+        placed = held.join(tasks, same[0] & same[1] & same[2] & same[3])
+        place = F.row_number().over(Window.partitionBy(*keys.values(), "_lexloom_task").orderBy("_lexloom_task")) + F.col("_lexloom_before")
+        extra = F.col("_lexloom_sum") - F.col("_lexloom_rows") * F.col("_lexloom_copies")
+        counted = placed.withColumn("_lexloom_place", place).withColumn("_lexloom_copies", F.col("_lexloom_copies") + (F.col("_lexloom_place") <= extra).cast("long"))
+        parts = parts.unionByName(counted.where(F.col("_lexloom_copies") > 0).select(*own, "_lexloom_copies"))
+    return parts.withColumn("_lexloom_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_lexloom_copies")))).select(*own)

@@ -79,8 +79,8 @@ class Cache:
 
     def of(self, parts: list[str], make) -> list:
         """The value of every part; `make` gives those of a list of unknown parts at once."""
-        now, before = self.now, self.before
-        out = [now.get(p) for p in parts]
+        before = self.before
+        out = list(map(self.now.get, parts))
         new = [i for i, v in enumerate(out) if v is None]
         for i in new:
             out[i] = before.get(parts[i])

@@ -90,52 +90,67 @@ def _written(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, las
     return cells[kept].tobytes(), np.cumsum(kept.sum(1))[ends - 1]
 
 
+class Words:
+    """The bytes of a vocabulary's ids, one after the other, and their numbers."""
+
+    def __init__(self, words: list[bytes]):
+        self.data = np.frombuffer(b"".join(words), np.uint8)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes for which ids stand."""
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        if not len(ends):
+            return self.data[:0]
+        return self.data[np.repeat(self.starts[ids] - (ends - n).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)]
+
+
 class Aligner:
     """Aligns texts; `groups` gives what the corpus-wide counts need, too."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = WordwiseEncoder(path_a), PieceEncoder(path_b)
-        self.bytes_a, self.bytes_b = bytes_of_a(self.a), bytes_of_b(self.b)
-        if max(len(self.bytes_a), len(self.bytes_b)) > 10**_DIGITS:
+        self.words_a, self.words_b = Words(bytes_of_a(self.a)), Words(bytes_of_b(self.b))
+        if max(len(self.words_a.sizes), len(self.words_b.sizes)) > 10**_DIGITS:
             raise ValueError("ids of these vocabularies have too many digits")
-        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
 
     def align(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[bytes]]:
         """n_a, n_b, n_groups, groups as text, and links (an unsigned number of A's id and, above 16 bits, B's) of each text; null is empty."""
         n = len(texts)
         texts = pc.fill_null(texts, "")
-        each_a = self.a.encode(pc.binary_join_element_wise("", texts, " "))
+        filled = pc.not_equal(texts, "")
+        spaced = pc.if_else(filled, pc.binary_join_element_wise("", texts, " "), "")
+        each_a = self.a.encode(spaced)
         ids_a, count_a = np.frombuffer(b"".join(each_a), np.uint16), np.fromiter(map(len, each_a), np.int64, n) // 2
         ids_b, count_b = self.b.ids(texts)
-        right = self._right(texts, ids_a, ids_b, count_a, count_b)
+        right = filled.to_numpy(zero_copy_only=False) & self._right(spaced, self.words_a, ids_a, count_a) & self._right(spaced, self.words_b, ids_b, count_b)
         ids_a, ids_b = ids_a[np.repeat(right, count_a)], ids_b[np.repeat(right, count_b)]
         count_a, count_b = count_a * right, count_b * right
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        ends_a, ends_b = np.cumsum(self.words_a.sizes[ids_a]), np.cumsum(self.words_b.sizes[ids_b])
         if not len(ends_a):
             return count_a, count_b, count_a, [""] * n, [b""] * n
         n_a, n_b = scanned(label_string(int(ends_a[-1]), ends_a, ends_b))
         # A text's last tokens of A and B end together, so no group reaches over texts.
         upto = np.searchsorted(np.cumsum(n_a), np.cumsum(count_a), side="right")
         first = np.append(0, upto[:-1])
-        filled = upto > first
-        line, ends = _written(ids_a, ids_b, n_a, n_b, upto[filled] - 1)
+        line, ends = _written(ids_a, ids_b, n_a, n_b, upto[upto > first] - 1)
         at = np.append(0, ends)
         links = ids_a[np.cumsum(n_a) - 1].astype(np.uint32) | ids_b[np.cumsum(n_b) - 1].astype(np.uint32) << 16
         groups = [line[at[i] : at[j]].decode() for i, j in zip(first.tolist(), upto.tolist(), strict=True)]
         return count_a, count_b, upto - first, groups, [links[i:j].tobytes() for i, j in zip(first.tolist(), upto.tolist(), strict=True)]
 
-    def _right(self, texts: pa.StringArray, ids_a: np.ndarray, ids_b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> np.ndarray:
-        """True for texts that are not empty and whose tokens of both kinds stand for a blank and the text."""
-        own = [b" " + x.encode() if x else b"" for x in texts.to_pylist()]
-        right = np.fromiter(map(bool, own), bool, len(own))
-        whole = b"".join(own)
-        for ids, counts, words in ((ids_a, np.where(right, count_a, 0), self.bytes_a), (ids_b, count_b, self.bytes_b)):
-            if len(ids) != counts.sum():  # A's tokens of the blank before an empty text
-                ids = ids[np.repeat(right, count_a)]
-            if b"".join(map(words.__getitem__, ids.tolist())) != whole:
-                for i, part in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
-                    right[i] &= b"".join(map(words.__getitem__, part.tolist())) == own[i]
-        return right
+    @staticmethod
+    def _right(spaced: pa.StringArray, words: Words, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """True for texts whose ids stand for their bytes."""
+        own = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)
+        offsets = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+        own, made = own[offsets[0] : offsets[-1]], words.joined(ids)
+        if len(own) == len(made) and np.array_equal(own, made):
+            return np.ones(len(spaced), bool)
+        ends, at = np.append(0, np.cumsum(words.sizes[ids]))[np.append(0, np.cumsum(counts))], offsets - offsets[0]
+        return np.array([np.array_equal(own[at[i] : at[i + 1]], made[ends[i] : ends[i + 1]]) for i in range(len(spaced))], bool)
 
 
 def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:

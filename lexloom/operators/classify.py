@@ -17,6 +17,9 @@ from .evaluate import best_parameter
 #: Inverse regularisation strengths of the grid.
 GRID = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 4.0, 6.0, 8.0)
 
+#: Largest number of a gradient at which a model of the grid is done; its losses are then right to far more digits.
+TOLERANCE = 1e-6
+
 
 def naive_bayes(weights: DataFrame, labels: DataFrame, vocab: DataFrame, key: str, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(label, log_prior; label, term_id, log_likelihood): unsmoothed priors, likelihoods smoothed by alpha over the vocabulary."""
@@ -70,7 +73,7 @@ def grid(train: DataFrame, test: DataFrame, cs: Sequence[float] = GRID, selectio
         rows, specs = many_models.sparse_rows(train, whole), [many_models.Spec(c) for c in cs]
     rows = stored(rows, "grid-rows").persist()
     try:
-        points = many_models.fit_many(rows, specs, n_terms).points
+        points = many_models.fit_many(rows, specs, n_terms, tolerance=TOLERANCE).points
         if selection == "cv":
             scores = many_models.log_losses(rows, points, np.array([s.without for s in specs])).reshape(len(cs), folds).mean(1)
         else:
@@ -85,3 +88,14 @@ def coefficients(model: LogisticRegressionModel, vocab: DataFrame) -> DataFrame:
     """term, coef of every term of the vocabulary."""
     values = [(i, float(x)) for i, x in enumerate(model.coefficients.toArray())]
     return vocab.sparkSession.createDataFrame(values, "term_id int, coef double").join(vocab, "term_id").select(F.col("gram").alias("term"), "coef")
+
+
+def lasso_terms(rows: DataFrame, vocab: DataFrame, c: float, tolerance: float = 1e-6) -> DataFrame:
+    """term, coef, zeroed: the coefficients of an L1 model of `features` and `label`, and whether it left the term out."""
+    held = many_models.sparse_rows(rows, F.lit(-2).alias("fold")).persist()
+    try:
+        fitted = many_models.fit_l1(held, [many_models.Spec(c)], vocab.count(), tolerance=tolerance)
+    finally:
+        held.unpersist()
+    values = [(i, float(x)) for i, x in enumerate(fitted.points[:-1, 0])]
+    return vocab.sparkSession.createDataFrame(values, "term_id int, coef double").join(vocab, "term_id").select(F.col("gram").alias("term"), "coef", (F.col("coef") == 0).alias("zeroed"))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 
+#: Rounds of moves without a gain after which a level is done.
+IDLE = 3
+
 
 def undirected(edges: DataFrame, a: str = "parent", b: str = "child") -> DataFrame:
     """a, b, weight: how many rows link each pair of nodes, in either direction. Rows with a null end are left out."""
@@ -33,12 +36,12 @@ def modularity(links: DataFrame, members: DataFrame) -> float:
     """The modularity of a partition; 0 of a graph without links."""
     of = lambda c: members.select(F.col("node").alias(c), F.col("community").alias(f"of_{c}"))
     placed = links.join(of("a"), "a").join(of("b"), "b")
-    ends = F.array(F.struct(F.col("of_a").alias("community"), F.col("weight").alias("degree")), F.struct(F.col("of_b"), F.col("weight")))
-    inside = F.when(F.col("of_a") == F.col("of_b"), F.col("weight")).otherwise(0.0)
-    degrees = placed.select(F.explode(ends).alias("e")).groupBy("e.community").agg(F.sum("e.degree").alias("degree"))
-    squares = degrees.agg(F.sum(F.col("degree") * F.col("degree"))).head()[0]
-    m, within = placed.agg(F.sum("weight"), F.sum(inside)).head()
-    return within / m - squares / (4 * m * m) if m else 0.0
+    # Each end of a link adds its weight to its community's degree, and half of it to what is inside if both are there.
+    half = F.when(F.col("of_a") == F.col("of_b"), F.col("weight") / 2).otherwise(0.0).alias("inside")
+    ends = F.array(*[F.struct(F.col(c).alias("community"), F.col("weight").alias("degree"), half) for c in ("of_a", "of_b")])
+    each = placed.select(F.explode(ends).alias("e")).groupBy("e.community").agg(F.sum("e.degree").alias("degree"), F.sum("e.inside").alias("inside"))
+    twice, within, squares = each.agg(F.sum("degree"), F.sum("inside"), F.sum(F.col("degree") * F.col("degree"))).head()
+    return 2 * within / twice - squares / (twice * twice) if twice else 0.0
 
 
 def _moved(ways: DataFrame, degrees: DataFrame, members: DataFrame, m: float, turn: int, turns: int, salt: int) -> DataFrame:
@@ -82,6 +85,7 @@ def _local(links: DataFrame, rounds: int, turns: int, least: float = 1e-4) -> tu
     m = links.agg(F.sum("weight")).head()[0]
     members = stored(degrees.select("node", F.col("node").alias("community")), "members")
     best = modularity(links, members)
+    idle = 0
     for r in range(rounds):
         before = best
         for turn in range(turns):
@@ -94,7 +98,9 @@ def _local(links: DataFrame, rounds: int, turns: int, least: float = 1e-4) -> tu
                 if value > best:
                     members, best = tried, value
                     break
-        if best - before < least:
+        # Which communities take nodes in changes by round, so one idle round is no end.
+        idle = 0 if best - before >= least else idle + 1
+        if idle == IDLE:
             break
     return members, best
 
@@ -107,7 +113,7 @@ def contracted(links: DataFrame, members: DataFrame) -> DataFrame:
     return placed.groupBy(low.alias("a"), high.alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def louvain(links: DataFrame, levels: int = 10, rounds: int = 8, turns: int = 2) -> list[Level]:
+def louvain(links: DataFrame, levels: int = 10, rounds: int = 12, turns: int = 2) -> list[Level]:
     """The levels of the search, each of larger modularity than the one before. A graph without links has none.
 
     Every table has a row for each link or node of its level; contraction makes the next level smaller. The names of

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from . import split
 
 EPSILON = 1e-15
 
@@ -129,13 +130,12 @@ def bucket_ends(scored: DataFrame, threshold: float, bucket: str, n: int = 20, l
 
 
 def importance_slices(ranked: DataFrame, value: str = "coef", key: str = "term", ends: int = 5, middle: int = 10) -> DataFrame:
-    """part (bottom, middle, top), rank and the rows of least, middle and largest value. Few rows: a vocabulary at most."""
-    place = F.row_number().over(Window.orderBy(value, key)) - 1
-    n = F.count(F.lit(1)).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    half = F.floor(F.col("n") / 2)
-    numbered = ranked.withColumn("rank", place).withColumn("n", n)
-    part = F.when(F.col("rank") < ends, "bottom").when(F.col("rank") >= F.col("n") - ends, "top").when((F.col("rank") >= half - middle // 2) & (F.col("rank") < half + middle // 2), "middle")
-    return numbered.withColumn("part", part).where(F.col("part").isNotNull()).drop("n")
+    """part (bottom, middle, top), rank and the rows of least, middle and largest value. Ranks come from ranges of rows, not from one task."""
+    numbered = split.placed(ranked, value, key)
+    rank, n = F.col("_place"), F.col("_all")
+    half = F.floor(n / 2)
+    part = F.when(rank < ends, "bottom").when(rank >= n - ends, "top").when((rank >= half - middle // 2) & (rank < half + middle // 2), "middle")
+    return numbered.withColumn("rank", rank.cast("int")).withColumn("part", part).where(F.col("part").isNotNull()).drop("_place", "_all")
 
 
 def extrapolated(counted: int, of: int, population: float) -> float:

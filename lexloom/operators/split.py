@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import stored
 
+#: Ranges and labels in them, a row each, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def is_target(column: Column, target: str) -> Column:
     """1 for the target, else 0, also for null."""
@@ -34,7 +37,9 @@ def _placed(rows: DataFrame, by: list[Column], order: list[Column]) -> DataFrame
         same = same & F.col(n).eqNullSafe(F.col(f"{n}_r"))
     right = before.select(F.col("_range").alias("_r"), *[F.col(n).alias(f"{n}_r") for n in names], "_before", "_all")
     inside = F.row_number().over(Window.partitionBy("_range", *names).orderBy(*order)) - 1
-    placed = marked.withColumn("_inside", inside).join(F.broadcast(right), same)
+    right = stored(right, "range-starts")
+    few = right.count() <= BROADCAST_ROWS
+    placed = marked.withColumn("_inside", inside).join(F.broadcast(right) if few else right, same)
     return placed.withColumn("_place", F.col("_before") + F.col("_inside")).select(*[F.col(f"`{c}`") for c in rows.columns], "_place", "_all")
 
 
@@ -53,7 +58,11 @@ def k_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: int | None
     return placed.withColumn("fold", F.least(F.floor(F.col("_place") / size), F.lit(k - 1)).cast("int")).drop("_place", "_all")
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with `_place` from 0 in the given order, and `_all`, the number of rows."""
+    return _placed(rows, [], [F.col(c) if isinstance(c, str) else c for c in order])
+
+
 def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
     """rows with `idx` from 0 in the given order."""
-    columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    return _placed(rows, [], columns).withColumnRenamed("_place", "idx").drop("_all")
+    return placed(rows, *order).withColumnRenamed("_place", "idx").drop("_all")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analyzer, wikitext
-from ..operators import classify, evaluate, frequencies, graph, split, vectorize
+from ..operators import classify, communities, evaluate, frequencies, graph, split, vectorize, word_vectors
 from ..sources import dump, sinks
 from ..sources.shared import shared_folder, spread, stored
 
@@ -393,6 +393,21 @@ def stemmed_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzer.grams(spread(_docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", 3)
 
 
+# Word vectors: terms in at least 20 documents, pairs at most two words apart, in both orders.
+_PAIRS = f"{_S}, vocab AS (SELECT gram, row_number() OVER (ORDER BY df DESC, gram) - 1 AS term_id FROM (SELECT gram, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS gram FROM s) GROUP BY gram HAVING count(*) >= 20 AND count(*) <= 0.5 * (SELECT count(*) FROM documents)) ORDER BY df DESC, gram LIMIT {vectorize.KEEP}), tok AS (SELECT row, place, term_id FROM (SELECT row_number() OVER () AS row, w FROM s), unnest(w) WITH ORDINALITY AS x(gram, place) JOIN vocab USING (gram)), one AS (SELECT a.term_id AS i, b.term_id AS j FROM tok a JOIN tok b ON a.row = b.row AND b.place - a.place IN (1, 2)), n AS (SELECT i, j, count(*) AS n FROM (SELECT i, j FROM one UNION ALL SELECT j, i FROM one) GROUP BY i, j), s1 AS (SELECT i, sum(n) AS s FROM n GROUP BY i)"
+
+
+@query(f"{_PAIRS} SELECT * FROM (SELECT n.i, n.j, CAST(n AS BIGINT) AS n, round(ln(n * (SELECT sum(s) FROM s1)::DOUBLE / a.s / b.s), 6) AS value FROM n JOIN s1 a ON a.i = n.i JOIN s1 b ON b.i = n.j) WHERE value > 0")
+def ppmi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two terms stand near each other, and their positive pointwise mutual information."""
+    docs = _docs(spark, sf_dir)
+    words = stored(spread(docs.select("text")).select(analyzer.gram_words(F.col("text"), stemmed=False).alias("words")), "words")
+    vocab = stored(frequencies.pruned_vocabulary(words, "words", docs.count(), n=1, no_below=20), "vocabulary")
+    counts = stored(word_vectors.cooccurrences(words, "words", vocab, window=2), "pairs")
+    both = word_vectors.ppmi(counts).join(counts, ["i", "j"])
+    return both.select("i", "j", "n", F.round("value", 6).alias("value")).where("value > 0")
+
+
 # Splits.
 @query("SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= floor(count(*) OVER (PARTITION BY lang) * 0.8) THEN 'train' ELSE 'test' END AS part FROM documents")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -593,6 +608,30 @@ def depth_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.select("node", F.round("weight", 6).alias("weight"))
 
 
+# Communities: suppliers and parts, linked by their line items.
+def _trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = _table(spark, sf_dir, "lineitem").select(name("s", "l_suppkey").alias("parent"), name("p", "l_partkey").alias("child"))
+    return stored(communities.undirected(edges), "trade-links")
+
+
+@query("WITH l AS (SELECT l_partkey % 10 AS a, l_suppkey % 10 AS b, count(*) AS w FROM lineitem GROUP BY ALL), d AS (SELECT g, sum(w) AS d FROM (SELECT a AS g, w FROM l UNION ALL SELECT b, w FROM l) GROUP BY g), m AS (SELECT sum(w)::DOUBLE AS m, sum(w) FILTER (a = b)::DOUBLE AS inside FROM l) SELECT round((SELECT inside / m FROM m) - sum((d / (2 * (SELECT m FROM m))) ** 2), 9) AS modularity FROM d")
+def partition_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modularity of suppliers and parts dealt to ten groups by their keys."""
+    links = _trade_links(spark, sf_dir)
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    members = nodes.withColumn("community", F.substring("node", 2, 20).cast("long") % 10)
+    value = communities.modularity(links, members)
+    return spark.range(1).select(F.round(F.lit(value), 9).alias("modularity"))
+
+
+@query()
+def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's and part's community at the last level, with the level's modularity."""
+    last = communities.louvain(_trade_links(spark, sf_dir))[-1]
+    return last.members.withColumn("modularity", F.lit(last.modularity))
+
+
 # Classifiers.
 _NB = f"{_X}, lab AS (SELECT doc_id, CAST(lang = 'en' AS INT) AS label FROM documents), prior AS (SELECT label, ln(count(*) * 1.0 / (SELECT count(*) FROM lab)) AS log_prior FROM lab GROUP BY label), mass AS (SELECT label, term_id, sum(weight) AS w FROM x JOIN lab USING (doc_id) GROUP BY label, term_id), total AS (SELECT label, sum(w) AS total FROM mass GROUP BY label), lik AS (SELECT p.label, v.term_id, ln((coalesce(w, 0) + 1) / (coalesce(total, 0) + (SELECT count(*) FROM vocab))) AS ll FROM prior p CROSS JOIN vocab v LEFT JOIN mass m ON m.label = p.label AND m.term_id = v.term_id LEFT JOIN total t ON t.label = p.label)"
 

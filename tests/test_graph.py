@@ -30,7 +30,7 @@ def plain_components(links):
     return {n: min(m for m in to[n] if n in to[m]) for n in to}
 
 
-@settings(max_examples=6, deadline=None)
+@settings(max_examples=3, deadline=None)
 @given(st.integers(0, 10**6), st.integers(2, 14), st.floats(0.5, 2.0))
 def test_components_of_random_graphs(spark, seed, n, density):
     draw = random.Random(seed)

@@ -30,7 +30,7 @@ def plain_components(links):
     return {n: min(m for m in to[n] if n in to[m]) for n in to}
 
 
-@settings(max_examples=3, deadline=None)
+@settings(max_examples=2, deadline=None)
 @given(st.integers(0, 10**6), st.integers(2, 14), st.floats(0.5, 2.0))
 def test_components_of_random_graphs(spark, seed, n, density):
     draw = random.Random(seed)
@@ -117,7 +117,7 @@ def test_modularity_of_partitions(spark):
 
 
 def test_communities_of_cliques(spark):
-    cliques = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(5) for j in range(i)]
+    cliques = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(4) for j in range(i)]
     edges = spark.createDataFrame([*cliques, ("a0", "b0"), ("b1", "c1"), ("a2", None)], EDGES)
     links = communities.undirected(edges)
     levels = communities.louvain(links)
@@ -126,7 +126,7 @@ def test_communities_of_cliques(spark):
     assert values == sorted(values) and len(values) >= 1
     for level in levels:
         of = {r.node: r.community for r in level.members.collect()}
-        assert len(of) == 15 and abs(level.modularity - plain_modularity(rows, of)) < 1e-9
+        assert len(of) == 12 and abs(level.modularity - plain_modularity(rows, of)) < 1e-9
     groups = {}
     for node, c in of.items():
         groups.setdefault(c, set()).add(node[0])

@@ -11,8 +11,9 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: UTF-8 bytes of text that one Python step handles at once.
 CHUNK_BYTES = 1_000_000
@@ -109,6 +110,19 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
         yield part, [x or "" for x in part.column(part.schema.get_field_index(column)).to_pylist()]
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, which may have dots and quotes in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of a documents table; other columns may have any names."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+    return docs.select(*map(quoted, columns))
+
+
+def mapped_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *added: StructField) -> DataFrame:
+    """`docs.mapInArrow` over all columns, and the columns that `run` adds; names with dots or quotes stand aside meanwhile."""
+    own = [f"_lexloom_c{i}" if "." in c or "`" in c else c for i, c in enumerate(docs.columns)]
+    plain = docs if own == docs.columns else docs.toDF(*own)
+    out = plain.mapInArrow(run, StructType([*plain.schema.fields, *added]))
+    return out if own == docs.columns else out.toDF(*docs.columns, *[f.name for f in added])

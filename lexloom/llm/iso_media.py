@@ -255,15 +255,29 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def tracks(media: DataFrame) -> DataFrame:
-    """doc_id, track, handler, codec, duration_s, samples, keyframes (byte ranges): a row for each track of any containers. media: doc_id, media."""
-    schema = "doc_id long, track long, handler string, codec string, duration_s double, samples long, keyframes array<struct<start: long, end: long>>"
+    """A row for each track of any containers: doc_id, track, handler, codec, duration_s, samples, keyframes (byte ranges), error.
+
+    media: doc_id, media. What is no container that can be read has a row with the reason in `error`, and nulls besides;
+    null and empty media have no row.
+    """
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = {"doc_id": pa.int64(), "track": pa.int64(), "handler": pa.string(), "codec": pa.string(), "duration_s": pa.float64(), "samples": pa.int64(), "keyframes": ranges, "error": pa.string()}
+    schema = "doc_id long, track long, handler string, codec string, duration_s double, samples long, keyframes array<struct<start: long, end: long>>, error string"
+
+    def rows_of(doc_id: int, data: bytes) -> list[tuple]:
+        try:
+            found = inspect(data)
+        except (ValueError, KeyError, IndexError, OverflowError, ZeroDivisionError, MemoryError, struct.error) as error:
+            return [(doc_id, None, None, None, None, None, None, f"{type(error).__name__}: {error}")]
+        if not found:
+            return [(doc_id, None, None, None, None, None, None, "no track")]
+        return [(doc_id, t["track"], t["handler"], t["codec"], seconds(t), t["samples"], [{"start": a, "end": b} for a, b in t["keyframes"]], None) for t in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
-            rows = [(i, t["track"], t["handler"], t["codec"], seconds(t), t["samples"], [{"start": a, "end": b} for a, b in t["keyframes"]]) for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) if data for t in inspect(data)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            names = ["doc_id", "track", "handler", "codec", "duration_s", "samples", "keyframes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+            rows = [r for i, data in zip(*(c.to_pylist() for c in batch.columns), strict=True) if data for r in rows_of(i, data)]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return media.select("doc_id", "media").mapInArrow(run, schema)
 

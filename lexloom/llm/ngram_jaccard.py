@@ -26,9 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
-from .common import Bounded, documents, partitions_for, stored, text_chunks, worker_keeps
+from .common import Bounded, documents, mapped_rows, partitions_for, quoted, stored, text_chunks, worker_keeps
 from .components import components
 
 #: Words of an n-gram, least Jaccard similarity of a link, share of links at that similarity that banding must find.
@@ -113,7 +113,7 @@ def with_keys(docs: DataFrame, name: str, words: int = WORDS) -> DataFrame:
         for batch, texts in text_chunks(batches):
             yield batch.append_column(name, pa.array([key_of(ngram_hashes(t, words)) for t in texts], pa.int64()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return mapped_rows(docs, run, StructField(name, LongType()))
 
 
 def _gram_sets(rows: DataFrame, words: int) -> DataFrame:
@@ -275,6 +275,6 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     for some in special:
         keyed = with_keys(some, "_lexloom_own_key", words)
         out = out.unionByName(keyed.where(F.col("_lexloom_own_key").isNull()).drop("_lexloom_own_key"))
-        own = keyed.join(keepers, (F.col("_lexloom_own_key") == F.col("_lexloom_k_key")) & F.col("doc_id").eqNullSafe(F.col("_lexloom_k_id"))).select("_lexloom_own_key", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("x"))
+        own = keyed.join(keepers, (F.col("_lexloom_own_key") == F.col("_lexloom_k_key")) & F.col("doc_id").eqNullSafe(F.col("_lexloom_k_id"))).select("_lexloom_own_key", F.struct(*[quoted(c) for c in docs.columns]).alias("x"))
         out = out.unionByName(own.groupBy("_lexloom_own_key").agg(F.min_by("x", F.xxhash64(F.to_json("x"))).alias("x")).select("x.*"))
     return out

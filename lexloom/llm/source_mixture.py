@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored
 
 #: Weights of the sources in order of their code points, again and again; most words of a source taken, in its sizes.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
@@ -141,7 +141,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     Of rows with the same id, text and source, the budget may take some once more than others. Which ones does not
     matter: they are counted off, by the tasks that hold them, so that many equal rows load no task.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [quoted(c) for c in docs.columns]
     keys = {"doc_id": "_lexloom_id", "source": "_lexloom_source", "content": "_lexloom_content"}
     groups = mixture(docs).groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.min("copies").alias("_lexloom_copies"), F.max("copies").alias("_lexloom_most"), F.sum("copies").alias("_lexloom_sum"), F.count(F.lit(1)).alias("_lexloom_rows"))
     groups = stored(groups.where(F.col("_lexloom_most") > 0), "mixture-groups")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, documents, stored, text_chunks, worker_keeps
+from .common import Bounded, documents, mapped_rows, stored, text_chunks, worker_keeps
 
 #: Bits of a feature hash, passes over the sample, words whose hashes a worker keeps.
 BITS, PASSES, KEPT_WORDS = 20, 5, 300_000
@@ -165,7 +165,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
 def not_toxic(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """The documents, with all their columns, that a model learned from them does not reject."""
     model = learn(docs, labels, sample)
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     state: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,4 +176,4 @@ def not_toxic(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMP
                 batch = batch.filter(pa.array([dense[feature_hashes(t, known.bits)].sum() + known.bias < 0 for t in texts]))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return mapped_rows(docs, run)

@@ -136,5 +136,5 @@ def test_stages_keep_the_documents_columns_and_take_effect(spark):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) < set(names) and {*names, "pipeline"} < set(__spark_entry__.queries())

@@ -305,21 +305,19 @@ def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyzer.grams(spread(_docs(spark, sf_dir).select("doc_id", "text")), "doc_id", "text", stemmed=False)
 
 
-def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzer.gram_arrays(spread(_docs(spark, sf_dir).select("doc_id", "lang", "text")), "doc_id", "text", stemmed=False).drop("text")
+def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequencies.pruned_vocabulary(_words(spark, sf_dir), "words", _docs(spark, sf_dir).count())
 
 
-def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    words = spread(docs.select("text")).select(analyzer.gram_words(F.col("text"), stemmed=False).alias("words"))
-    return frequencies.pruned_vocabulary(words, "words", docs.count())
+def _words(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    docs = spread(_docs(spark, sf_dir).select(*keys, "text"))
+    return docs.select(*keys, analyzer.gram_words(F.col("text"), stemmed=False).alias("words"))
 
 
 def _weights(spark: SparkSession, sf_dir: str, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """The vocabulary, and its weights in long form."""
+    """The vocabulary, and its weights by term_id."""
     vocab = stored(_vocab(spark, sf_dir), "vocabulary")
-    rows = vectorize.vectors(_arrays(spark, sf_dir), vocab, "grams", vectorize.KEEP)
-    return vocab, vectorize.weights_of(rows, vocab, *keys)
+    return vocab, frequencies.term_weights(_words(spark, sf_dir, *keys), "words", vocab, *keys)
 
 
 @query(f"{_T} SELECT doc_id, len(a) AS n, array_to_string(a, ' ') AS found FROM t")
@@ -373,7 +371,8 @@ def doc2bow_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_X} SELECT doc_id, gram, round(weight, 6) AS weight FROM x")
 def tfidf_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, sf_dir, "doc_id")[1].select("doc_id", "gram", F.round("weight", 6).alias("weight"))
+    vocab, weights = _weights(spark, sf_dir, "doc_id")
+    return vectorize.with_grams(weights, vocab).select("doc_id", "gram", F.round("weight", 6).alias("weight"))
 
 
 @query(f"{_X} SELECT lang, gram, w FROM (SELECT lang, gram, round(sum(weight), 4) AS w, row_number() OVER (PARTITION BY lang ORDER BY round(sum(weight), 4) DESC, gram) AS k FROM x GROUP BY lang, gram) WHERE k <= 10")
@@ -381,9 +380,8 @@ def top_grams_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: tokens, stop words, n-grams, vocabulary and TF-IDF of all documents, and each language's top ten."""
     from pyspark.sql import Window
 
-    vocab = stored(_vocab(spark, sf_dir), "vocabulary")
-    rows = vectorize.vectors(_arrays(spark, sf_dir), vocab, "grams", vectorize.KEEP)
-    by = vectorize.weights_by_id(rows, "lang").groupBy("lang", "term_id").agg(F.round(F.sum("weight"), 4).alias("w"))
+    vocab, weights = _weights(spark, sf_dir, "lang")
+    by = weights.groupBy("lang", "term_id").agg(F.round(F.sum("weight"), 4).alias("w"))
     k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("w"), "gram"))
     return vectorize.with_grams(by, vocab).withColumn("k", k).where(F.col("k") <= 10).select("lang", "gram", "w")
 
@@ -638,7 +636,7 @@ _NB = f"{_X}, lab AS (SELECT doc_id, CAST(lang = 'en' AS INT) AS label FROM docu
 
 def _bayes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     vocab, weights = _weights(spark, sf_dir, "doc_id")
-    weights = stored(weights.drop("gram"), "weights")
+    weights = stored(weights, "weights")
     labels = _docs(spark, sf_dir).select("doc_id", split.is_target(F.col("lang"), "en").alias("label"))
     return weights, labels, *classify.naive_bayes(weights, labels, vocab, "doc_id")
 

@@ -146,24 +146,56 @@ def inner_links(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return both.where(F.col("parent_part") == F.col("child_part")).select("parent", "child")
 
 
-def in_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """node: nodes that reach themselves; with `depth`, within so many links.
-
-    Without `depth` these are the ends of links within components. With it, walks stay within components, and a pair
-    (start, reached node of its component) is kept once, at its least distance.
-    """
-    links = stored(inner_links(edges, components(edges)), "cycle-links")
-    if depth is None:
-        return links.select(F.col("parent").alias("node")).distinct()
-    reach = front = links.select(F.col("parent").alias("a"), F.col("child").alias("b"))
-    for _ in range(depth - 1):
-        # A walk that is back at its start has been found and goes no further.
-        step = front.where(F.col("a") != F.col("b")).join(links, F.col("b") == F.col("parent")).select("a", F.col("child").alias("b")).distinct()
-        front = stored(step.join(reach, ["a", "b"], "left_anti"), "cycle-step")
+def _steps(links: DataFrame, front: DataFrame, most: int) -> DataFrame:
+    """a, b, d: front (a, b; one link apart at d = 1, or at d = 0), and what is at most `most` links from a, once, at its least distance."""
+    reach = front = stored(front, "cycle-step")
+    for d in range(front.agg(F.coalesce(F.max("d"), F.lit(most))).head()[0] + 1, most + 1):
+        step = front.join(links, F.col("b") == F.col("parent")).select("a", F.col("child").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        front = stored(step.join(reach, ["a", "b"], "left_anti").withColumn("d", F.lit(d)), "cycle-step")
         if front.isEmpty():
             break
         reach = reach.unionByName(front)
-    return reach.where(F.col("a") == F.col("b")).select(F.col("a").alias("node")).distinct()
+    return reach
+
+
+def _in_short_cycles(edges: DataFrame, depth: int) -> DataFrame:
+    """node: nodes that reach themselves within `depth` links.
+
+    A node with more than m ways through it (links in x links out; m is the number of links) is a hub; there are fewer than
+    sqrt(m). Walks from the hubs and to them give all short cycles with a hub on them. Cycles without one are found from
+    pairs (start, node) half a cycle apart, one way and back, between the other nodes: for cycles of three links these are
+    at most m + m^1.5 pairs, and in trees with links back as many as there are links.
+    """
+    whole = edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL")
+    found = [whole.where("parent = child").select(F.col("parent").alias("node"))]
+    links = core(whole.where("parent <> child"), depth)
+    m = links.count()
+    out = links.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_out"))
+    into = links.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+    hubs = stored(out.join(into, "node").where(F.col("n_out").cast("double") * F.col("n_in") > m).select("node"), "cycle-hubs")
+    if depth > 1 and not hubs.isEmpty():
+        start = hubs.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("d"))
+        there = _steps(links, start, depth - 1).where("d > 0")
+        back = _steps(links.select(F.col("child").alias("parent"), F.col("parent").alias("child")), start, depth - 1).where("d > 0")
+        near = stored(there.join(back.withColumnRenamed("d", "e"), ["a", "b"]).where(F.col("d") + F.col("e") <= depth).select("a", "b"), "hub-cycles")
+        found += [near.select(F.col("a").alias("node")), near.select(F.col("b").alias("node"))]
+        without = lambda c: hubs.select(F.col("node").alias(c))
+        links = core(links.join(without("parent"), "parent", "left_anti").join(without("child"), "child", "left_anti"), depth)
+    if depth > 1 and not links.isEmpty():
+        pairs = _steps(links, links.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.lit(1).alias("d")), (depth + 1) // 2)
+        back = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("d").alias("e"))
+        found.append(pairs.join(back, ["a", "b"]).where(F.col("d") + F.col("e") <= depth).select(F.col("a").alias("node")))
+    return functools.reduce(DataFrame.union, found).distinct()
+
+
+def in_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """node: nodes that reach themselves; with `depth`, within so many links. Links with a null end are left out.
+
+    Without `depth` these are the ends of links within components.
+    """
+    if depth is not None:
+        return _in_short_cycles(edges, depth)
+    return inner_links(edges, components(edges)).select(F.col("parent").alias("node")).distinct()
 
 
 def reaching(links: DataFrame, relation: str, targets: DataFrame, first: str | None = None) -> DataFrame:

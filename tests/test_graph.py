@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexloom.operators import communities, graph
 
@@ -56,6 +57,40 @@ def test_two_components_of_one_colour(spark):
     assert {r.node: r.component for r in graph.components(spark.createDataFrame(links, EDGES)).collect()} == plain_components(links)
 
 
+def test_short_cycles(spark):
+    """Cycles by length, with hubs and without; many nodes around few hubs make no pairs of those nodes."""
+    draw = random.Random(8)
+    links = [*{(draw.randrange(25), draw.randrange(25)) for _ in range(45)}, *((100 + i, 0) for i in range(9)), *((0, 100 + i) for i in range(4, 9)), (200, 200)]
+    edges = spark.createDataFrame([*links, links[0], (None, 1), (2, None), (None, None)], "parent long, child long")
+    for depth in (1, 2, 3, 4, 5):
+        at, step = {(n, n) for e in links for n in e}, set()
+        want = set()
+        for _ in range(depth):
+            step = {(a, c) for a, b in at for x, c in links if x == b}
+            want |= {a for a, b in step if a == b}
+            at = step
+        assert {r.node for r in graph.in_cycles(edges, depth).collect()} == want
+
+
+def test_short_cycles_make_no_pairs_of_a_hubs_nodes(spark):
+    """Each of 3,000 nodes leads to one node, which leads to all: walks of three links join 9 million pairs."""
+    n = spark.range(1, 3001)
+    edges = n.select(F.col("id").alias("parent"), F.lit(0).cast("long").alias("child")).union(n.select(F.lit(-1).cast("long"), "id")).union(spark.sql("SELECT 0L, -1L"))
+    most, stored = [], graph.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        most.append(out.count())
+        return out
+
+    graph.stored = counted
+    try:
+        assert graph.in_cycles(edges, 3).count() == 3002
+    finally:
+        graph.stored = stored
+    assert max(most) < 30_000
+
+
 LINKS = [("i1", "part", "i2"), ("i2", "part", "root"), ("i3", "sub", "root"), ("i4", "sub", "i3"), ("i3", "sub", "i4"), ("i5", "part", "i4"), ("i6", "is", "k"), ("i7", "is", "l"), ("l", "sub", "k"), ("i8", "about", "i4"), ("i9", "about", "i1"), ("i5", "part", "i2")]
 
 

@@ -71,15 +71,12 @@ def grid(train: DataFrame, test: DataFrame, cs: Sequence[float] = GRID, selectio
         specs = [many_models.Spec(c, k) for c in cs for k in range(folds)]
     else:
         rows, specs = many_models.sparse_rows(train, whole), [many_models.Spec(c) for c in cs]
-    rows = stored(rows, "grid-rows").persist()
-    try:
-        points = many_models.fit_many(rows, specs, n_terms, tolerance=TOLERANCE).points
-        if selection == "cv":
-            scores = many_models.log_losses(rows, points, np.array([s.without for s in specs])).reshape(len(cs), folds).mean(1)
-        else:
-            scores = many_models.log_losses(many_models.sparse_rows(test, whole), points)
-    finally:
-        rows.unpersist()
+    rows = stored(rows, "grid-rows")
+    points = many_models.fit_many(rows, specs, n_terms, tolerance=TOLERANCE).points
+    if selection == "cv":
+        scores = many_models.log_losses(rows, points, np.array([s.without for s in specs])).reshape(len(cs), folds).mean(1)
+    else:
+        scores = many_models.log_losses(many_models.sparse_rows(test, whole), points)
     table = spark.createDataFrame(list(zip(cs, map(float, scores), strict=True)), "c double, score double")
     return best_parameter(table).head()["c"], table
 
@@ -92,10 +89,7 @@ def coefficients(model: LogisticRegressionModel, vocab: DataFrame) -> DataFrame:
 
 def lasso_terms(rows: DataFrame, vocab: DataFrame, c: float, tolerance: float = 1e-6) -> DataFrame:
     """term, coef, zeroed: the coefficients of an L1 model of `features` and `label`, and whether it left the term out."""
-    held = many_models.sparse_rows(rows, F.lit(-2).alias("fold")).persist()
-    try:
-        fitted = many_models.fit_l1(held, [many_models.Spec(c)], vocab.count(), tolerance=tolerance)
-    finally:
-        held.unpersist()
+    held = many_models.sparse_rows(rows, F.lit(-2).alias("fold"))
+    fitted = many_models.fit_l1(held, [many_models.Spec(c)], vocab.count(), tolerance=tolerance)
     values = [(i, float(x)) for i, x in enumerate(fitted.points[:-1, 0])]
     return vocab.sparkSession.createDataFrame(values, "term_id int, coef double").join(vocab, "term_id").select(F.col("gram").alias("term"), "coef", (F.col("coef") == 0).alias("zeroed"))

@@ -1,8 +1,8 @@
 """L2 logistic regression of many models at once: every inverse regularisation and fold of a grid, one scan an iteration.
 
 Each model minimises the mean loss of its rows plus |w|^2 / (2 c n); the intercept is not penalised. A scan evaluates
-the trial point of every model on every row: tasks add up the models' losses and gradients as one block, blocks of terms
-are summed by Spark, and one row for each block of terms comes back. The driver holds the models and takes each one's
+the trial point of every model that is not done on every row: tasks add up the models' losses and gradients, blocks of
+terms are dealt to tasks that sum them, and one row for each block comes back, as the bytes of its numbers. The driver holds the models and takes each one's
 next step (limited-memory BFGS with backtracking), so a model that is done, or has to shorten its step, delays no other.
 
 The driver needs (2 x `HISTORY` + 4) numbers for each term and model; the vocabulary and the grid bound both.
@@ -16,13 +16,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pairs of steps and gradient changes that a model keeps; terms of a block; non-zero values handled at once.
-HISTORY, BLOCK, VALUES = 5, 8192, 200_000
+HISTORY, BLOCK, VALUES = 10, 1024, 200_000
 
 
 @dataclass(frozen=True)
@@ -53,47 +51,79 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         first = last
 
 
+PACKED = "labels binary, folds binary, places binary, terms binary, values binary"
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Rows of `sparse_rows` with `fold`, some `VALUES` values at a time as the bytes of arrays, which scans read without converting them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, fold, row, terms, values in _parts(batch):
+                arrays = (y.astype(float), fold.astype(np.int32), row.astype(np.int32), terms.astype(np.int32), values.astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    return rows.select("label", "terms", "values", "fold").mapInArrow(run, PACKED)
+
+
 def scan(rows: DataFrame, points: np.ndarray, without: np.ndarray, only: bool = False, gradient: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows seen, summed loss, summed gradient) of every model, at the models' points: a column each, the intercept last.
+    """(rows seen, summed loss, summed gradient) of every model over `packed` rows, at the models' points: a column each, the intercept last.
 
     without: each model's fold (-1: none) whose rows it does not see; with `only`, it sees those alone. A probability of
     less than 1e-15 counts as that much in a loss.
     """
     n_terms, n_models = points.shape[0] - 1, points.shape[1]
     most = -np.log(1 - (1 - 1e-15)), -np.log(1e-15)  # as probabilities held to 1e-15 and 1 - 1e-15 have it, for label 0 and 1
-    sent = rows.sparkSession.sparkContext.broadcast(points)
+    sent = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(points.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = sent.value, np.zeros(sent.value.shape)
+        w, total = sent.value, np.zeros((n_models, n_terms + 1))
         seen, loss = np.zeros(n_models), np.zeros(n_models)
         for batch in batches:
-            for y, fold, row, terms, values in _parts(batch):
-                margin = np.tile(w[-1], (len(y), 1))
-                for m in range(n_models):
-                    margin[:, m] += np.bincount(row, values * w[terms, m], minlength=len(y))
+            for block in zip(*batch.columns, strict=True):
+                y, fold, row, terms, values = (np.frombuffer(x.as_buffer(), k) for x, k in zip(block, ("f8", "i4", "i4", "i4", "f8"), strict=True))
+                margin = np.tile(w[:, -1], (len(y), 1))
+                own = np.flatnonzero(np.diff(row, prepend=-1))  # where the values of a row begin
+                for m in range(n_models if len(own) else 0):
+                    margin[row[own], m] += np.add.reduceat(values * w[m].take(terms), own)
                 inside = (fold[:, None] == without) if only else (fold[:, None] != without)
                 seen += inside.sum(0)
                 signed = np.where(y[:, None] > 0, -margin, margin)
                 loss += (np.minimum(np.logaddexp(0, signed), np.where(y > 0, most[1], most[0])[:, None]) * inside).sum(0)
                 if gradient:
                     off = (1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y[:, None]) * inside
-                    total[-1] += off.sum(0)
-                    for m in range(n_models):
-                        total[:-1, m] += np.bincount(terms, values * off[row, m], minlength=n_terms)
-        blocks = [(-1, np.concatenate([seen, loss, total[-1]]))]
+                    total[:, -1] += off.sum(0)
+                    for m, x in enumerate(np.ascontiguousarray(off.T)):
+                        total[m, :-1] += np.bincount(terms, values * x.take(row), minlength=n_terms)
+        blocks = [(-1, np.concatenate([seen, loss, total[:, -1]]))]
         if gradient:
-            blocks += [(i, x.ravel()) for i in range(0, n_terms, BLOCK) if (x := total[i : min(i + BLOCK, n_terms)]).any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.list_(pa.float64()))], names=["block", "sums"])
+            blocks += [(i, x) for i in range(0, n_terms, BLOCK) if (x := total[:, i : min(i + BLOCK, n_terms)]).any()]
+        yield _block_rows(blocks)
 
-    added = rows.select("label", "terms", "values", "fold").mapInArrow(run, "block long, sums array<double>").groupBy("block").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
-    out = {r["block"]: np.array(r["sums"]) for r in added.select("block", vector_to_array("sums").alias("sums")).collect()}  # a row for each block
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_buffer())
+                sums[i] = sums[i] + x if i in sums else x.copy()
+        yield _block_rows(list(sums.items()))
+
+    schema = "block long, sums binary"
+    parts = min(-(-n_terms // BLOCK) + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.mapInArrow(run, schema).repartition(parts, "block").mapInArrow(add, schema).toArrow()  # a row for each block
+    sent.destroy()
+    out = {i: np.frombuffer(x.as_buffer()) for i, x in zip(found["block"].to_pylist(), found["sums"], strict=True)}
     whole = np.zeros(points.shape)
     seen, loss, whole[-1] = out.pop(-1, np.zeros(3 * n_models)).reshape(3, n_models)
     for i, x in out.items():
-        whole[i : min(i + BLOCK, n_terms)] = x.reshape(-1, n_models)
+        whole[i : min(i + BLOCK, n_terms)] = x.reshape(n_models, -1).T
     return seen, loss, whole
 
 
+def _block_rows(blocks: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int64()), pa.array([x.tobytes() for _, x in blocks], pa.binary())], names=["block", "sums"])
+
+
 @dataclass
 class _Descent:
     """One model's search: its point, what it knows there, and the trial point that the next scan evaluates."""
@@ -162,23 +192,25 @@ def fit_many(rows: DataFrame, specs: Sequence[Spec], n_terms: int, iterations: i
     without = np.array([-1 if s.without is None else s.without for s in specs])
     points = np.zeros((n_terms + 1, len(specs))) if start is None else start.astype(float)
     models: list[_Descent] = []
-    scans = 0
+    scans, held = 0, packed(rows).persist()
     while scans < iterations and not (models and all(m.done for m in models)):
-        seen, loss, slope = scan(rows, points, without)
+        going = [k for k in range(len(specs)) if not models or not models[k].done]
+        seen, loss, slope = scan(held, np.ascontiguousarray(points[:, going]), without[going])
         scans += 1
         seen = np.maximum(seen, 1)
         if not models:
             models = [_Descent(points[:, k].copy(), 1 / (s.c * seen[k])) for k, s in enumerate(specs)]
-        for k, model in enumerate(models):
-            model.told(float(loss[k] / seen[k]), slope[:, k] / seen[k], tolerance)
+        for i, k in enumerate(going):
+            models[k].told(float(loss[i] / seen[i]), slope[:, i] / seen[i], tolerance)
         points = np.stack([m.trial() for m in models], 1)
+    held.unpersist()
     return Fitted(list(specs), np.stack([m.point for m in models], 1) if models else points, scans)
 
 
 def log_losses(rows: DataFrame, points: np.ndarray, folds: np.ndarray | None = None) -> np.ndarray:
     """Each model's mean loss over all rows, or over those of its fold: one scan."""
     all_rows = folds is None
-    seen, loss, _ = scan(rows, points, np.full(points.shape[1], -1) if all_rows else folds, only=not all_rows, gradient=False)
+    seen, loss, _ = scan(packed(rows), points, np.full(points.shape[1], -1) if all_rows else folds, only=not all_rows, gradient=False)
     return loss / np.maximum(seen, 1)
 
 
@@ -203,7 +235,7 @@ def fit_l1(rows: DataFrame, specs: Sequence[Spec], n_terms: int, iterations: int
     promises more than it holds, and the momentum starts again where it leads uphill.
     """
     without = np.array([-1 if s.without is None else s.without for s in specs])
-    m = len(specs)
+    m, rows = len(specs), packed(rows).persist()
     at = ahead = np.zeros((n_terms + 1, m))
     speed, size = np.ones(m), np.full(m, 4.0)
     seen, loss, slope = scan(rows, ahead, without)
@@ -231,4 +263,5 @@ def fit_l1(rows: DataFrame, specs: Sequence[Spec], n_terms: int, iterations: int
             scans += 1
         else:
             loss, slope = np.where(ok, new_loss, loss), np.where(ok, new_slope, slope)
+    rows.unpersist()
     return Fitted(list(specs), at, scans)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analyzer import gram_arrays, gram_words
+from ..functions.analyzer import gram_words
 from ..operators import classify, evaluate, frequencies, split, vectorize
 from ..sources.shared import stored
 
@@ -47,8 +48,8 @@ class Classifier:
     text: str = "text"
 
     def features(self, docs: DataFrame) -> DataFrame:
-        arrays = gram_arrays(docs, self.key, self.text, self.n_grams, name="_grams")
-        return vectorize.vectors(arrays, self.vocab, "_grams", self.size).drop("_grams")
+        words = docs.withColumn("_words", gram_words(F.col(self.text)))
+        return frequencies.term_vectors(words, "_words", self.vocab, self.size)
 
     def scored(self, docs: DataFrame) -> DataFrame:
         """docs with predicted; a document without a known term scores 0."""
@@ -97,12 +98,20 @@ def fit(docs: DataFrame, target: str, c: float, size: int = vectorize.KEEP, n_gr
 
 @dataclass
 class Trained:
-    """Result of a training run: grid, best parameter, evaluation rows, and the model of all documents."""
+    """Result of a training run: grid, best parameter, and, made when first asked for, evaluation rows and the model of all documents."""
 
     grid: DataFrame
     best: float
-    evaluation: DataFrame
-    final: Classifier
+    evaluate_best: Callable[[], DataFrame]
+    fit_best: Callable[[], Classifier]
+
+    @functools.cached_property
+    def evaluation(self) -> DataFrame:
+        return self.evaluate_best()
+
+    @functools.cached_property
+    def final(self) -> Classifier:
+        return self.fit_best()
 
     def confusion(self) -> DataFrame:
         return evaluate.confusion_sweep(self.evaluation)
@@ -120,6 +129,9 @@ def train(docs: DataFrame, target: str, cs: Sequence[float] = classify.GRID, siz
     found = stored(features.select(*dict.fromkeys((key, title)), "label", "part", "features"), "features")
     training, test = found.where(F.col("part") == "train"), found.where(F.col("part") == "test")
     best, table = classify.grid(training, test, cs, selection, key=key)
-    scored = classify.scores(classify.logistic_regression(training, best), test)
-    evaluation = scored.select(F.col(title).cast("string").alias("title"), F.col("label").alias("actual"), "predicted")
-    return Trained(table, best, evaluation, fit(docs, target, best, size, n_grams, label, key, text, no_below))
+
+    def evaluation() -> DataFrame:
+        scored = classify.scores(classify.logistic_regression(training, best), test)
+        return scored.select(F.col(title).cast("string").alias("title"), F.col("label").alias("actual"), "predicted")
+
+    return Trained(table, best, evaluation, lambda: fit(docs, target, best, size, n_grams, label, key, text, no_below))

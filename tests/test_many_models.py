@@ -87,3 +87,15 @@ def test_grid_agrees_with_single_fits(spark, data):
     assert best == 1.0 and table.count() == 2
     with pytest.raises(ValueError):
         classify.grid(train, test, (1.0,), "other")
+
+
+def test_models_that_are_done_are_scanned_no_more(rows, monkeypatch):
+    widths, scan = [], many_models.scan
+
+    def counted(rows, points, *args, **named):
+        widths.append(points.shape[1])
+        return scan(rows, points, *args, **named)
+
+    monkeypatch.setattr(many_models, "scan", counted)
+    many_models.fit_many(rows, SPECS, 6)
+    assert widths[0] == 3 and widths[-1] < 3 and widths == sorted(widths, reverse=True)

@@ -96,9 +96,8 @@ def headers(text: Column) -> Column:
 
 
 def _pairs(c: Column, pattern: str, *names: str) -> Column:
-    """An array of structs with a field for each group of the pattern."""
-    each = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i + 1)) for i in range(len(names))]
-    return F.transform(each[0], lambda x, i: F.struct(*[F.get(e, i).alias(n) for e, n in zip(each, names, strict=True)]))
+    """An array of structs with a field for each group of the pattern. Each group is extracted once, not once for each match."""
+    return F.arrays_zip(*[F.regexp_extract_all(c, F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
 def math_tags(c: Column) -> Column:

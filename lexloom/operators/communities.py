@@ -113,22 +113,36 @@ def contracted(links: DataFrame, members: DataFrame) -> DataFrame:
     return placed.groupBy(low.alias("a"), high.alias("b")).agg(F.sum("weight").alias("weight"))
 
 
+def folded(links: DataFrame) -> DataFrame:
+    """node, community: a node linked to a single other one, and not to itself, is with that one; the others stand alone.
+
+    In any partition, moving such a leaf to its neighbour's community raises the modularity: its link of weight w gains
+    w / m, and costs at most w (2m - w) / 2m^2. So no best partition has a leaf elsewhere. Two nodes that have only each
+    other trade names here, no more.
+    """
+    each = both_ways(links).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other"))
+    return each.select("node", F.when(F.col("n") == 1, F.col("other")).otherwise(F.col("node")).alias("community"))
+
+
 def louvain(links: DataFrame, levels: int = 10, rounds: int = 12, turns: int = 2) -> list[Level]:
     """The levels of the search, each of larger modularity than the one before. A graph without links has none.
 
-    Every table has a row for each link or node of its level; contraction makes the next level smaller. The names of
-    communities are names of nodes.
+    Leaves are folded into their neighbours first, so rounds have rows for the other nodes' links only. Every table has
+    a row for each link or node of its level; contraction makes the next level smaller. The names of communities are
+    names of nodes. What the original nodes' communities are is joined when a level's members are read.
     """
     found: list[Level] = []
-    current = stored(links.select("a", "b", "weight"), "level-links")
+    links = stored(links.select("a", "b", "weight"), "level-links")
+    leaves = stored(folded(links), "folded")
+    current, inner = stored(contracted(links, leaves), "level-links"), None
     while len(found) < levels and not current.isEmpty():
         members, value = _local(current, rounds, turns)
         if found and value <= found[-1].modularity + 1e-9:
             break
-        whole = members
-        if found:
-            to = members.select(F.col("node").alias("community"), F.col("community").alias("new"))
-            whole = stored(found[-1].members.join(to, "community").select("node", F.col("new").alias("community")), "level-members")
-        found.append(Level(whole, value))
+        to = members.select(F.col("node").alias("community"), F.col("community").alias("new"))
+        renamed = lambda before, to=to: before.join(to, "community").select("node", F.col("new").alias("community"))
+        inner = members if inner is None else stored(renamed(inner), "level-members")
+        names = inner.select(F.col("node").alias("community"), F.col("community").alias("new"))
+        found.append(Level(renamed(leaves, names), value))
         current = stored(contracted(current, members), "level-links")
     return found

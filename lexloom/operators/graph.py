@@ -233,24 +233,33 @@ def depth_weights(edges: DataFrame, roots: DataFrame, damping: float = 0.85, tol
 
     A root (node) starts with its equal share of 1 - damping. Every node passes `damping` of its weight down, in equal
     parts to its distinct children; so nodes near a root weigh more than those far below, and several ways to a node add
-    up. What is passed is summed by child before the shuffle. Rounds end when all that is still passed on is at most
-    `tolerance`: in cycles, too, since each round passes on `damping` of the last at most. Unreached nodes weigh 0.
+    up. What is passed is summed by child before the shuffle. Rounds follow only links to nodes that have children
+    themselves; the others pass nothing on, so they get their weight once, at the end. Rounds end when all that is still
+    passed on is at most `tolerance`: in cycles, too, since each round passes on `damping` of the last at most. Unreached
+    nodes weigh 0.
     """
     if not 0 <= damping < 1:
         raise ValueError("damping is at least 0 and below 1")
     links = stored(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct(), "weight-links")
-    fan = links.groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+    fan = stored(links.groupBy("parent").agg(F.count(F.lit(1)).alias("children")), "weight-fans")
     nodes = links.select(F.col("parent").alias("node")).union(links.select("child")).union(roots.select("node")).distinct()
+    inner = stored(links.join(fan.select(F.col("parent").alias("child")), "child", "left_semi").select("parent", "child"), "weight-inner-links")
     n = roots.select("node").distinct().count()
     passed = stored(roots.select("node").distinct().withColumn("weight", F.lit((1 - damping) / max(n, 1))), "passed")
     kept = passed
+
+    def shared(weights: DataFrame) -> DataFrame:
+        return weights.join(fan, F.col("node") == F.col("parent")).select("parent", (F.col("weight") * damping / F.col("children")).alias("share"))
+
     for _ in range(most):
-        share = passed.join(fan, F.col("node") == F.col("parent")).select("parent", (F.col("weight") * damping / F.col("children")).alias("share"))
-        new = share.join(links, "parent").groupBy(F.col("child").alias("node")).agg(F.sum("share").alias("weight"))
+        new = shared(passed).join(inner, "parent").groupBy(F.col("child").alias("node")).agg(F.sum("share").alias("weight"))
         passed = stored(new, "passed")
         total = passed.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).head()[0]
         kept = stored(kept.unionByName(passed).groupBy("node").agg(F.sum("weight").alias("weight")), "weights")
         # What later rounds can still add is at most total / (1 - damping).
         if total <= tolerance * (1 - damping):
             break
+    ends = links.join(fan.select(F.col("parent").alias("child")), "child", "left_anti")
+    below = shared(kept).join(ends, "parent").groupBy(F.col("child").alias("node")).agg(F.sum("share").alias("weight"))
+    kept = kept.unionByName(below).groupBy("node").agg(F.sum("weight").alias("weight"))
     return nodes.join(kept, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))

@@ -191,11 +191,12 @@ def _in_short_cycles(edges: DataFrame, depth: int) -> DataFrame:
 def in_cycles(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """node: nodes that reach themselves; with `depth`, within so many links. Links with a null end are left out.
 
-    Without `depth` these are the ends of links within components.
+    Without `depth` these are the ends of links within components; what is in no cycle is trimmed away before.
     """
     if depth is not None:
         return _in_short_cycles(edges, depth)
-    return inner_links(edges, components(edges)).select(F.col("parent").alias("node")).distinct()
+    left = core(edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL"))
+    return inner_links(left, components(left)).select(F.col("parent").alias("node")).distinct()
 
 
 def reaching(links: DataFrame, relation: str, targets: DataFrame, first: str | None = None) -> DataFrame:

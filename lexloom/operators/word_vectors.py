@@ -1,7 +1,7 @@
 """Word vectors from co-occurrences: positive pointwise mutual information, and its singular vectors by random blocks.
 
 Pairs are counted by tasks, from the documents' arrays of words and a vocabulary that is broadcast (at most `most` terms),
-and summed by pair. The matrix of their PPMI is symmetric; it is stored dealt by its rows, of which the largest has an
+and summed and stored by pair in one order; the other order is made when they are read. The matrix of their PPMI is symmetric; it is stored dealt by its rows, of which the largest has an
 entry for each term at most. Each product with a block of columns is one job: the block is broadcast, tasks multiply
 their rows, and a row of numbers for each term comes back. The driver holds blocks of (terms x (rank + extra)) numbers.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from .frequencies import slices
 
 #: Words on either side that a word occurs with; terms of the vocabulary; columns of a block beyond the rank; its powers.
 WINDOW, MOST, EXTRA, POWERS = 5, 100_000, 10, 3
@@ -25,42 +26,42 @@ WINDOW, MOST, EXTRA, POWERS = 5, 100_000, 10, 3
 def cooccurrences(docs: DataFrame, words: str, vocab: DataFrame, window: int = WINDOW, most: int = MOST) -> DataFrame:
     """i, j, n: how often terms i and j stand at most `window` words apart in a document, in either order.
 
-    vocab: term_id, gram. Words that are no terms keep their places but count for nothing; a word occurs with another
+    words: a column of arrays of words, or of `frequencies.packed` words. vocab: term_id, gram. Words that are no terms keep their places but count for nothing; a word occurs with another
     place of the same word, too. Null arrays have no words.
     """
     known = vocab.where(F.col("term_id") < most).select("term_id", "gram").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast((known["gram"].combine_chunks(), known["term_id"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, ids = sent.value
-        for batch in batches:
-            arrays = batch.column(0)
-            at = pc.fill_null(pc.index_in(arrays.flatten(), grams), -1).to_numpy(zero_copy_only=False)
-            sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            term = np.where(at < 0, -1, np.append(ids, -1)[at]).astype(np.int64)
-            found = []
+        terms, ids = sent.value
+        for _, grams in slices(batches):
+            at = pc.fill_null(pc.index_in(grams.words, terms), -1).to_numpy(zero_copy_only=False)
+            term = np.where(at < 0, -1, np.append(ids, -1)[at]).astype(np.int64)[grams.codes]
+            doc, found = grams.doc, []
             for d in range(1, window + 1):
                 ok = (doc[:-d] == doc[d:]) & (term[:-d] >= 0) & (term[d:] >= 0)
                 a, b = term[:-d][ok], term[d:][ok]
-                found += [a * most + b, b * most + a]
+                found.append(np.minimum(a, b) * most + np.maximum(a, b))
             pairs, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs // most), pa.array(pairs % most), pa.array(n.astype(np.int64))], names=["i", "j", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-    return docs.select(words).mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    counted = stored(docs.select(words).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    once, n = counted.select(F.expr(f"pair div {most}").alias("i"), (F.col("pair") % most).alias("j"), "n"), F.col("n")
+    same = F.col("i") == F.col("j")
+    orders = F.when(same, F.array(F.struct("i", "j", (n * 2).alias("n")))).otherwise(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n")))
+    return once.select(F.inline(orders))
 
 
 def ppmi(counts: DataFrame) -> DataFrame:
-    """i, j, value: ln(n x all / (n of i x n of j)) of the pairs for which it is positive.
+    """i, j, n, value: ln(n x all / (n of i x n of j)) of the pairs for which it is positive.
 
-    counts: i, j, n with each pair in both orders. The terms' sums are joined; they are as few as the vocabulary's terms.
+    counts: i, j, n with each pair in both orders, read twice. The terms' sums, as few as the vocabulary's terms, are broadcast.
     """
-    counts = stored(counts, "pair-counts")
     sums = stored(counts.groupBy("i").agg(F.sum("n").alias("s")), "pair-sums")
     whole = sums.agg(F.sum("s").alias("whole"))
-    both = counts.join(sums, "i").join(sums.select(F.col("i").alias("j"), F.col("s").alias("t")), "j").join(F.broadcast(whole))
+    both = counts.join(F.broadcast(sums), "i").join(F.broadcast(sums.select(F.col("i").alias("j"), F.col("s").alias("t"))), "j").join(F.broadcast(whole))
     value = F.log(F.col("n") * F.col("whole") / F.col("s") / F.col("t"))
-    return both.select("i", "j", value.alias("value")).where(F.col("value") > 0)
+    return both.select("i", "j", "n", value.alias("value")).where(F.col("value") > 0)
 
 
 def _times(matrix: DataFrame, block: np.ndarray) -> np.ndarray:

@@ -401,10 +401,9 @@ _PAIRS = f"{_S}, vocab AS (SELECT gram, row_number() OVER (ORDER BY df DESC, gra
 def ppmi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often two terms stand near each other, and their positive pointwise mutual information."""
     docs = _docs(spark, sf_dir)
-    words = stored(spread(docs.select("text")).select(analyzer.gram_words(F.col("text"), stemmed=False).alias("words")), "words")
+    words = frequencies.packed(_words(spark, sf_dir), "words")
     vocab = stored(frequencies.pruned_vocabulary(words, "words", docs.count(), n=1, no_below=20), "vocabulary")
-    counts = stored(word_vectors.cooccurrences(words, "words", vocab, window=2), "pairs")
-    both = word_vectors.ppmi(counts).join(counts, ["i", "j"])
+    both = word_vectors.ppmi(word_vectors.cooccurrences(words, "words", vocab, window=2))
     return both.select("i", "j", "n", F.round("value", 6).alias("value")).where("value > 0")
 
 

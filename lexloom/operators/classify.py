@@ -22,10 +22,14 @@ TOLERANCE = 1e-6
 
 
 def naive_bayes(weights: DataFrame, labels: DataFrame, vocab: DataFrame, key: str, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(label, log_prior; label, term_id, log_likelihood): unsmoothed priors, likelihoods smoothed by alpha over the vocabulary."""
+    """(label, log_prior; label, term_id, log_likelihood): unsmoothed priors, likelihoods smoothed by alpha over the vocabulary.
+
+    Weights that hold their document's label are not joined with the labels.
+    """
     n = labels.agg(F.count(F.lit(1)).alias("n"))
     priors = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n)).select("label", F.log(F.col("k") / F.col("n")).alias("log_prior"))
-    mass = weights.join(labels, key).groupBy("label", "term_id").agg(F.sum("weight").alias("w"))
+    labelled = weights.where(F.col(key).isNotNull()) if "label" in weights.columns else weights.join(labels, key)
+    mass = stored(labelled.groupBy("label", "term_id").agg(F.sum("weight").alias("w")), "mass")
     totals = mass.groupBy("label").agg(F.sum("w").alias("total"))
     size = vocab.agg(F.count(F.lit(1)).alias("v"))
     every = priors.select("label").join(F.broadcast(vocab.select("term_id")))
@@ -35,8 +39,11 @@ def naive_bayes(weights: DataFrame, labels: DataFrame, vocab: DataFrame, key: st
 
 
 def naive_bayes_scores(weights: DataFrame, docs: DataFrame, priors: DataFrame, likelihoods: DataFrame, key: str) -> DataFrame:
-    """key, predicted: probability of label 1 for every document, also for those without a known term."""
-    each = weights.join(likelihoods, "term_id").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("log_likelihood")).alias("s"))
+    """key, predicted: probability of label 1 for every document, also for those without a known term.
+
+    The likelihoods, a row for each label and term of the vocabulary, are broadcast.
+    """
+    each = weights.select(key, "term_id", "weight").join(F.broadcast(likelihoods), "term_id").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("log_likelihood")).alias("s"))
     joint = docs.select(key).join(F.broadcast(priors)).join(each, [key, "label"], "left").withColumn("s", F.col("log_prior") + F.coalesce("s", F.lit(0.0)))
     of = lambda y: F.max(F.when(F.col("label") == y, F.col("s")))
     return joint.groupBy(key).agg((F.lit(1.0) / (F.lit(1.0) + F.exp(of(0) - of(1)))).alias("predicted"))

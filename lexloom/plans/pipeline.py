@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analyzer import gram_words
@@ -48,12 +48,13 @@ class Classifier:
     text: str = "text"
 
     def features(self, docs: DataFrame) -> DataFrame:
-        words = docs.withColumn("_words", gram_words(F.col(self.text)))
-        return frequencies.term_vectors(words, "_words", self.vocab, self.size)
+        words = docs.withColumn("_words", gram_words(F.col(self.text), stemmed=False))
+        return frequencies.term_vectors(words, "_words", self.vocab, self.size, stemmed=True)
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """docs with predicted; a document without a known term scores 0."""
-        rows = classify.scores(self.model, self.features(docs))
+        """docs with predicted; a document without a known term scores 0. Rows that `fit_with_features` made keep their features."""
+        made = {"features", "n_terms"} <= set(docs.columns)
+        rows = classify.scores(self.model, docs if made else self.features(docs))
         return rows.withColumn("predicted", F.when(F.col("n_terms") > 0, F.col("predicted")).otherwise(F.lit(0.0))).drop("features", "n_terms")
 
     def predictions(self, docs: DataFrame, threshold: float, title: str = "title") -> DataFrame:
@@ -81,19 +82,31 @@ def load(spark: SparkSession, path: str) -> Classifier:
     return Classifier(s["target"], vocab, LogisticRegressionModel.load(f"{path}/model"), s["size"], s["n_grams"], s["key"], s["text"])
 
 
-def _vocabulary(own: DataFrame, text: str, n_grams: int, no_below: int, size: int) -> DataFrame:
-    words = own.select(gram_words(F.col(text)).alias("words"))
-    return stored(frequencies.pruned_vocabulary(words, "words", own.count(), n_grams, no_below, keep=size), "vocabulary")
+def _featured(rows: DataFrame, own: Column, text: str, n_grams: int, no_below: int, size: int, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(the vocabulary of the rows that are `own`, stored: the keys, features and n_terms of every row).
+
+    Each text is stemmed once: the own ones before the vocabulary is made, and packed; the others when vectors are made.
+    """
+    names = ["`" + k.replace("`", "``") + "`" for k in keys]
+    words = lambda part: part.select(*names, gram_words(F.col(text), stemmed=False).alias("_words"))
+    first = frequencies.packed(words(rows.where(own)), "_words", *keys, stemmed=True)
+    n_docs = first.agg(F.sum(F.size(names[0]))).head()[0] or 0
+    vocab = stored(frequencies.pruned_vocabulary(first, "_words", n_docs, n_grams, no_below, keep=size), "vocabulary")
+    vectors = [frequencies.term_vectors(x, "_words", vocab, size, stemmed=True) for x in (first, words(rows.where(~own)))]
+    return vocab, stored(vectors[0].union(vectors[1]), "features")
+
+
+def fit_with_features(docs: DataFrame, target: str, c: float, *keys: str, size: int = vectorize.KEEP, n_grams: int = 3, label: str = "target", key: str = "doc_id", text: str = "text", no_below: int = vectorize.NO_BELOW) -> tuple[Classifier, DataFrame]:
+    """(a classifier as of `fit`, the rows it was fitted to: their keys, label, features and n_terms, stored), which score the same documents without their texts."""
+    labelled = docs.withColumn("label", split.is_target(F.col(label), target).cast("double"))
+    vocab, features = _featured(labelled, F.col("label") == 1, text, n_grams, no_below, size, *dict.fromkeys((*keys, "label")))
+    model = classify.logistic_regression(features.select("label", "features"), c)
+    return Classifier(target, vocab, model, size, n_grams, key, text), features
 
 
 def fit(docs: DataFrame, target: str, c: float, size: int = vectorize.KEEP, n_grams: int = 3, label: str = "target", key: str = "doc_id", text: str = "text", no_below: int = vectorize.NO_BELOW) -> Classifier:
     """A classifier whose vocabulary and document frequencies come from the target's own documents."""
-    labelled = docs.withColumn("label", split.is_target(F.col(label), target).cast("double"))
-    own = labelled.where(F.col("label") == 1)
-    vocab = _vocabulary(own, text, n_grams, no_below, size)
-    model = Classifier(target, vocab, None, size, n_grams, key, text)
-    model.model = classify.logistic_regression(stored(model.features(labelled).select("label", "features"), "features"), c)
-    return model
+    return fit_with_features(docs, target, c, size=size, n_grams=n_grams, label=label, key=key, text=text, no_below=no_below)[0]
 
 
 @dataclass
@@ -123,10 +136,8 @@ class Trained:
 def train(docs: DataFrame, target: str, cs: Sequence[float] = classify.GRID, size: int = vectorize.KEEP, n_grams: int = 3, label: str = "target", key: str = "doc_id", text: str = "text", title: str = "doc_id", selection: str = "test", no_below: int = vectorize.NO_BELOW) -> Trained:
     """Splits 80:20 by label, fits the grid, evaluates the best parameter, and fits it to all documents."""
     rows = split.stratified_split(docs.withColumn("label", split.is_target(F.col(label), target).cast("double")), "label", key)
-    own = rows.where((F.col("part") == "train") & (F.col("label") == 1))
-    vocab = _vocabulary(own, text, n_grams, no_below, size)
-    features = Classifier(target, vocab, None, size, n_grams, key, text).features(rows)
-    found = stored(features.select(*dict.fromkeys((key, title)), "label", "part", "features"), "features")
+    own = (F.col("part") == "train") & (F.col("label") == 1)
+    _, found = _featured(rows, own, text, n_grams, no_below, size, *dict.fromkeys((key, title, "label", "part")))
     training, test = found.where(F.col("part") == "train"), found.where(F.col("part") == "test")
     best, table = classify.grid(training, test, cs, selection, key=key)
 

@@ -8,6 +8,7 @@ weight, inside a community's and degree the summed degrees of its nodes (a link
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ from ..sources.shared import stored
 #: Rounds of moves without a gain after which a level is done.
 IDLE = 3
 
+#: Links of a level at most that the driver takes to move its nodes one by one; larger levels are moved by rounds of jobs.
+HERE = 200_000
+
 
 def undirected(edges: DataFrame, a: str = "parent", b: str = "child") -> DataFrame:
     """a, b, weight: how many rows link each pair of nodes, in either direction. Rows with a null end are left out."""
@@ -78,15 +82,58 @@ class Level:
     modularity: float
 
 
-def _local(links: DataFrame, rounds: int, turns: int, least: float = 1e-4) -> tuple[DataFrame, float]:
-    """(members, modularity) after local moves from each node alone. A step that does not raise the modularity is not kept."""
+def _one_by_one(links: list[tuple], least: float) -> tuple[dict, float]:
+    """(community of each node, modularity) after passes over all nodes, each moved to where it gains most, until a pass gains less than `least`."""
+    near: dict = {}
+    degree: dict = {}
+    m = sum(w for _, _, w in links)
+    for a, b, w in links:
+        for node in (a, b):
+            near.setdefault(node, {})
+            degree[node] = degree.get(node, 0.0) + w
+        if a != b:
+            near[a][b] = near[a].get(b, 0.0) + w
+            near[b][a] = near[b].get(a, 0.0) + w
+    of, total = {node: node for node in near}, dict(degree)
+    while True:
+        won = 0.0
+        for node in sorted(near):
+            own, d, to = of[node], degree[node], {}
+            for other, w in near[node].items():
+                to[of[other]] = to.get(of[other], 0.0) + w
+            total[own] -= d
+            gains = {c: k - d * total[c] / (2 * m) for c, k in to.items()}
+            stay = gains.get(own, -d * total[own] / (2 * m))
+            best, new = max(((g, c) for c, g in gains.items()), default=(stay, own))
+            if best > stay + 1e-12:
+                of[node] = own = new
+                won += (best - stay) / m
+            total[own] += d
+        if won < least:
+            break
+    within = sum(w for a, b, w in links if of[a] == of[b])
+    return of, within / m - sum((t / (2 * m)) ** 2 for t in total.values())
+
+
+def _local(links: DataFrame, rounds: int | None, turns: int, least: float = 1e-4) -> tuple[DataFrame, float]:
+    """(members, modularity) after local moves from each node alone. A step that does not raise the modularity is not kept.
+
+    Moves go on until they gain nothing more, or for so many rounds. Without such a bound, the driver moves the nodes of
+    at most `HERE` links.
+    """
+    if rounds is None and links.limit(HERE + 1).count() <= HERE:
+        rows = links.select("a", "b", "weight").toArrow()
+        of, value = _one_by_one(sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True)), least / 1000)
+        kind = links.schema["a"].dataType.simpleString()
+        made = links.sparkSession.createDataFrame(list(of.items()), f"node {kind}, community {kind}")
+        return stored(made, "members"), value
     ways = stored(both_ways(links), "ways")
     degrees = stored(ways.groupBy("node").agg(F.sum("weight").alias("degree")), "degrees")
     m = links.agg(F.sum("weight")).head()[0]
     members = stored(degrees.select("node", F.col("node").alias("community")), "members")
     best = modularity(links, members)
     idle = 0
-    for r in range(rounds):
+    for r in itertools.count() if rounds is None else range(rounds):
         before = best
         for turn in range(turns):
             moves = stored(_moved(ways, degrees, members, m, turn, turns, r), "moves")
@@ -124,9 +171,11 @@ def folded(links: DataFrame) -> DataFrame:
     return each.select("node", F.when(F.col("n") == 1, F.col("other")).otherwise(F.col("node")).alias("community"))
 
 
-def louvain(links: DataFrame, levels: int = 10, rounds: int = 12, turns: int = 2) -> list[Level]:
+def louvain(links: DataFrame, levels: int | None = None, rounds: int | None = None, turns: int = 2) -> list[Level]:
     """The levels of the search, each of larger modularity than the one before. A graph without links has none.
 
+    The search ends when neither moves nor another level raise the modularity, or with so many levels, or rounds in one.
+
     Leaves are folded into their neighbours first, so rounds have rows for the other nodes' links only. Every table has
     a row for each link or node of its level; contraction makes the next level smaller. The names of communities are
     names of nodes. What the original nodes' communities are is joined when a level's members are read.
@@ -135,7 +184,7 @@ def louvain(links: DataFrame, levels: int = 10, rounds: int = 12, turns: int = 2
     links = stored(links.select("a", "b", "weight"), "level-links")
     leaves = stored(folded(links), "folded")
     current, inner = stored(contracted(links, leaves), "level-links"), None
-    while len(found) < levels and not current.isEmpty():
+    while (levels is None or len(found) < levels) and not current.isEmpty():
         members, value = _local(current, rounds, turns)
         if found and value <= found[-1].modularity + 1e-9:
             break

@@ -627,7 +627,7 @@ def partition_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each tree node's community at the last level, with the level's modularity."""
-    last = communities.louvain(communities.undirected(_tree_edges(spark, sf_dir)), levels=2, rounds=3)[-1]
+    last = communities.louvain(communities.undirected(_tree_edges(spark, sf_dir)))[-1]
     return last.members.withColumn("modularity", F.lit(last.modularity))
 
 
